@@ -18,8 +18,9 @@ from ._common import table
 
 TREES = 96
 BITS = 30
-#: The trees ascend until they hold this many rows, as a share of the block's rows (each tree counts).
+#: The trees ascend until together they hold this share of the block's rows, and at least so many (each tree counts).
 CANDIDATES = 0.3
+LEAST = 8192
 ROW_BLOCK, QUERY_BLOCK = 16384, 16384
 K = 5
 SCHEMA = "query_id long, vec_id long, score double"
@@ -41,13 +42,13 @@ def codes(x: np.ndarray, trees: int, bits: int, seed: int = 11) -> np.ndarray:
     return out
 
 
-def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = CANDIDATES):
+def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = CANDIDATES, least: int = LEAST):
     """The k nearest found of each query among rows, by the forest over rows; ties to smaller ids."""
     n, m = len(rows), len(queries)
     code, asked = codes(rows, trees, bits), codes(queries, trees, bits)
     order = np.argsort(code, axis=1, kind="stable")
     arrays = np.take_along_axis(code, order, axis=1)
-    need = max(share * n, min(n, 4 * k))
+    need = max(share * n, least)
     lo, hi = np.zeros((trees, m), dtype=np.int64), np.full((trees, m), n, dtype=np.int64)
     open_ = np.ones(m, dtype=bool)
     for level in range(bits, -1, -1):  # all trees at one level

@@ -4,9 +4,9 @@ A source that is to give rho times its words takes every document floor(rho)
 times, and once more with the inclusion probability that is left.  The flight
 phase moves the probabilities of three documents at a time along the null
 space of the two constraints, number of documents and number of words, until
-one of them is 0 or 1; so both totals stay as they are.  At most two
+one of them is 0 or 1; so both totals stay as they are.  A few of the smallest
 documents of a block remain; the blocks' remainders fly again, and the last
-few of a source land.
+dozen of a source land on the subset nearest to the totals.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ._common import table, word_count, written
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, CAP = 1.5, 2.0
 BLOCK = 4096
+#: Documents of a block that may stay undecided: the landing tries all their subsets.
+LAST = 12
 EPS = 1e-9
 
 
@@ -48,18 +50,18 @@ def targets(sizes: list[int], *, weights=WEIGHTS, budget: float = BUDGET, cap: f
     return out
 
 
-def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
-    """Probabilities after the flight: all 0 or 1 but for at most two.
+def flight(p: list[float], size: list[int], rng: random.Random, last: int = 2) -> list[float]:
+    """Probabilities after the flight: all 0 or 1 but for at most `last` of the final ones, last >= 2.
 
     u = (s2 - s3, s3 - s1, s1 - s2) is the null vector of the rows (1, 1, 1)
     and (s1, s2, s3); equal sizes leave a plane, where two documents trade.
     """
     p = list(p)
     live: list[int] = []
-    for i in range(len(p) + 1):
-        if i < len(p) and EPS < p[i] < 1 - EPS:
-            live.append(i)
-        while len(live) >= 3:
+    open_ = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    for at, i in enumerate(open_):
+        live.append(i)
+        while len(live) >= 3 and len(live) + len(open_) - at - 1 > last:
             a, b, c = live[-3:]
             u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
             if u == (0, 0, 0):
@@ -76,24 +78,61 @@ def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
 
 
 def landing(p: list[float], size: list[int]) -> list[float]:
-    """The last few: the choice whose words come nearest to the expected, then whose number does."""
+    """The last few: the subset whose words come nearest to the expected, then whose number does."""
     live = [i for i, x in enumerate(p) if 0 < x < 1]
     want, number = sum(p[i] * size[i] for i in live), sum(p[i] for i in live)
-    best = min(range(1 << len(live)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(live) if m >> k & 1) - want), abs(bin(m).count("1") - number), m))
+    subsets = np.arange(1 << len(live))
+    words, count = np.zeros(len(subsets)), np.zeros(len(subsets))
+    for k, i in enumerate(live):
+        words += (subsets >> k & 1) * size[i]
+        count += subsets >> k & 1
+    best = int(np.lexsort((subsets, np.abs(count - number), np.abs(words - want)))[0])
     out = list(p)
     for k, i in enumerate(live):
         out[i] = float(best >> k & 1)
     return out
 
 
+def settle(p: list[float], size: list[int], want: float, rounds: int = 4) -> list[float]:
+    """Landed documents with up to `rounds` exchanges, each of one taken for one that isn't, or of one alone.
+
+    A large document is decided last, where the small ones left can't make up
+    for it; so the exchange that brings the words nearest to `want` is made.
+    """
+    x, s = np.array(p), np.array(size, dtype=np.int64)
+    for _ in range(rounds):
+        err = float((x * s).sum() - want)
+        out = np.append(np.flatnonzero(x == 1), -1)
+        into = np.append(np.flatnonzero(x == 0), -1)
+        a, b = np.where(out < 0, 0, s[out]), np.where(into < 0, 0, s[into])
+        order = np.argsort(b, kind="stable")
+        at = np.searchsorted(b[order], a - err)
+        best = (abs(err) - 0.5, -1, -1)
+        for near in (np.clip(at - 1, 0, len(b) - 1), np.clip(at, 0, len(b) - 1)):
+            left = np.abs(err - a + b[order][near])
+            k = int(left.argmin())
+            if left[k] < best[0]:
+                best = (float(left[k]), int(out[k]), int(into[order[near[k]]]))
+        if best[1:] == (-1, -1):
+            break
+        if best[1] >= 0:
+            x[best[1]] = 0
+        if best[2] >= 0:
+            x[best[2]] = 1
+    return x.tolist()
+
+
 def _fly(land: bool):
     def block(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        # the smallest documents come last: they are what stays undecided
+        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row", "ascending")])
         p, size = t["p"].to_pylist(), t["size"].to_pylist()
         seed = f"{t['source'][0].as_py()}|{t['block'][0].as_py()}|{len(p)}"
-        p = flight(p, size, random.Random(seed))
-        if land:
-            p = landing(p, size)
+        if any(0 < x < 1 for x in p):
+            want = sum(x * s for x, s in zip(p, size))
+            p = flight(p, size, random.Random(seed), LAST)
+            if land or t["blocks"][0].as_py() == 1:
+                p = settle(landing(p, size), size, want)
         return t.set_column(t.column_names.index("p"), "p", pa.array(p, pa.float64()))
 
     return block
@@ -111,7 +150,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
     read; an empty table gives no rows.  Reruns agree: chance is seeded by
     source and block, and rows are ordered by id and size.
     """
-    schema = "source int, doc_id long, size long, row long, p double, base long, block long"
+    schema = "source int, doc_id long, size long, row long, p double, base long, blocks long, block long"
     digest = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")), "mixing")
     # one row a source: the catalogue of sources, not the data
     totals = digest.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
@@ -125,13 +164,13 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
         plan.append((i, r["name"], r["source_size"], t, base, rho - base if rho - base > EPS else 0.0, -(-r["n"] // block)))
     sources = spark.createDataFrame(plan, "source int, name string, source_size long, target double, base long, p double, blocks long")
     placed = digest.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, digest["name"].eqNullSafe(sources["name"]))
-    rows = placed.select("source", "doc_id", "size", "row", "p", "base", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"))
+    rows = placed.select("source", "doc_id", "size", "row", "p", "base", "blocks", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"))
     flown = written(rows.groupBy("source", "block").applyInArrow(_fly(False), schema), "flight")
     decided = [flown.where("p <= 0 or p >= 1")]
     rest = flown.where("p > 0 and p < 1")
-    most = max([x[-1] for x in plan], default=1)  # blocks of the largest source; each leaves two rows at most
-    while most > 1:
-        most = -(-2 * most // block)
+    most = max([x[-1] for x in plan], default=1)  # blocks of the largest source; each leaves LAST rows at most
+    while most > 1:  # two blocks become one, as LAST is small against block
+        most = -(-LAST * most // block)
         rest = written(rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(most))).groupBy("source", "block").applyInArrow(_fly(False), schema), "flight")
         decided.append(rest.where("p <= 0 or p >= 1"))
         rest = rest.where("p > 0 and p < 1")
