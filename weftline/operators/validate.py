@@ -247,7 +247,8 @@ def imports(refs: DataFrame, code: DataFrame, listing: DataFrame, exports: DataF
     there = code.select(F.col("path").alias("candidate"), F.lit(0).alias("stage")).unionByName(listing.select(F.col("path").alias("candidate"), F.lit(1).alias("stage"))).distinct()
     found = one.join(there, "candidate").groupBy("value", "language").agg(F.min_by("candidate", F.struct("stage", "pos")).alias("resolved_path"))
     offered = exports.groupBy(F.col("path").alias("resolved_path")).agg(F.sort_array(F.collect_set("symbol")).alias("__offered"))
-    hit = refs.join(found, (refs["value"] == found["value"]) & refs["language"].eqNullSafe(found["language"]), "left").drop(found["value"]).drop(found["language"])
+    found = found.select(F.col("value").alias("__v"), F.col("language").alias("__l"), "resolved_path")
+    hit = refs.join(found, (F.col("value") == F.col("__v")) & F.col("language").eqNullSafe(F.col("__l")), "left").drop("__v", "__l")
     hit = hit.join(offered, "resolved_path", "left").withColumn("__offered", F.coalesce("__offered", none))
     lacks_default = F.when((F.size("__default") > 0) & ~F.array_contains("__offered", "default"), F.col("__default")).otherwise(none)
     hit = hit.withColumns({"__lost": F.array_except("__named", "__offered"), "__nodefault": lacks_default})
