@@ -14,9 +14,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,38 +179,39 @@ def best_path(word: str, score: dict[str, float], longest: int) -> list[str]:
 
 
 class Encoder(dict):
-    """word -> ids: the table, and the words folded on the way while they are kept."""
+    """word -> ids as packed 32-bit integers: the table, and the words folded on the way while they are kept."""
 
-    def __init__(self, model: Model, known: dict[str, tuple[int, ...]]):
+    def __init__(self, model: Model, known: dict[str, bytes]):
         super().__init__(known)
         self.ids = {p: i for p, i, _ in model.usable()}
         self.values = {p: (-s if model.kind == BPE else s) for p, _, s in model.usable()}
         self.bytes = model.byte_ids()
         self.kind, self.longest, self.extra = model.kind, max(map(len, self.values), default=1), []
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         parts = merge_word(word, self.values) if self.kind == BPE else best_path(word, self.values, self.longest)
-        out: list[int] = []
+        out = array("i")
         for p in parts:
             i = self.ids.get(p)
             if i is None:
-                out += [self.bytes[b] for b in p.encode("utf-8")]
+                out.extend([self.bytes[b] for b in p.encode("utf-8")])
             else:
                 out.append(i)
+        packed = out.tobytes()
         if len(self.extra) >= EXTRA:
             for w in self.extra:
                 del self[w]
             self.extra.clear()
         if len(word) <= LONG:
             self.extra.append(word)
-            self[word] = tuple(out)
-        return tuple(out)
+            self[word] = packed
+        return packed
 
-    def encode(self, text: str, dummy_prefix: bool) -> list[int]:
+    def encode(self, text: str, dummy_prefix: bool) -> np.ndarray:
         t = escaped(text, dummy_prefix)
         words = CHUNK.findall(t)
         head = t[: len(t) - sum(map(len, words))] if not t.startswith(SPACE) else ""
-        return list(chain.from_iterable(map(self.__getitem__, [head, *words] if head else words)))
+        return np.frombuffer(b"".join(map(self.__getitem__, [head, *words] if head else words)), dtype=np.int32)
 
 
 def piece_bytes(model: Model) -> list[bytes]:
@@ -220,8 +222,8 @@ def piece_bytes(model: Model) -> list[bytes]:
     return out
 
 
-def decode_ids(ids: list[int], parts: list[bytes], dummy_prefix: bool) -> str:
-    text = b"".join([parts[i] for i in ids]).decode("utf-8", "replace")
+def decode_ids(ids, parts: list[bytes], dummy_prefix: bool) -> str:
+    text = b"".join(map(parts.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if dummy_prefix and text.startswith(" ") else text
 
 
@@ -276,11 +278,11 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, model: Model, *, limit: int = TABLE_WORDS, length: int = TABLE_LENGTH) -> DataFrame:
-    """At most `limit` words, all those counted more often than some number, over all documents."""
-    prefix = F.lit(SPACE if model.dummy_prefix else "")
-    text = F.concat(prefix, F.translate("text", " ", SPACE))
-    words = docs.where("text is not null and text <> ''").select(F.explode(F.regexp_extract_all(text, F.lit(f"{SPACE}+[^{SPACE}]*"), F.lit(0))).alias("word"))
-    counts = written(words.where(F.char_length("word") <= length).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    """At most `limit` words with their leading space, all those counted more often than some number, over all documents."""
+    # runs between single spaces, cut without a regex; a longer run of spaces counts as one
+    words = docs.where("text is not null").select(F.explode(F.split("text", " ")).alias("word")).where(f"word <> '' and char_length(word) < {length}")
+    words = words.where(~F.col("word").contains(SPACE)).select(F.concat(F.lit(SPACE), "word").alias("word"))
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
     most = 100_000
     steps = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # at most `most` rows
     least, total = most + 1, 0
@@ -305,21 +307,28 @@ def encode(docs: DataFrame, *, model_path: str = MODEL, limit: int = TABLE_WORDS
     model = load_model(model_path)
     words = frequent_words(docs, model, limit=limit)
     found = encode_words(words.repartition(4 * max(1, spark.sparkContext.defaultParallelism)), model).toArrow()
-    known = dict(zip(found["word"].to_pylist(), map(tuple, found["ids"].to_pylist())))
-    # at most `limit` words; plain values, as a broadcast is pickled by reference
-    shared = spark.sparkContext.broadcast((vars(model), known))
+    ids = found["ids"].combine_chunks()
+    # at most `limit` words, each with one space, at its start; packed: workers that wait for other work hold little memory
+    packed = ("".join(found["word"].to_pylist()), np.asarray(ids.flatten(), dtype=np.int32).tobytes(), np.asarray(ids.value_lengths(), dtype=np.int32).tobytes())
+    shared = spark.sparkContext.broadcast((vars(model), packed))
 
     def run(batches):
-        fields, known = shared.value
+        fields, (words, ids, lengths) = shared.value
         model = Model(**fields)
+        ends = 4 * np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)
+        known = {SPACE + w: ids[b - 4 * n : b] for w, b, n in zip(words.split(SPACE)[1:], ends.tolist(), np.frombuffer(lengths, np.int32).tolist())}
         encoder, parts = Encoder(model, known), piece_bytes(model)
+        del known
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 texts = part.column(1).to_pylist()
-                ids = [None if t is None else encoder.encode(t, model.dummy_prefix) for t in texts]
-                same = [None if t is None else decode_ids(x, parts, model.dummy_prefix) == t for t, x in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x or ()) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                got = [None if t is None else encoder.encode(t, model.dummy_prefix) for t in texts]
+                same = [None if t is None else decode_ids(x.tolist(), parts, model.dummy_prefix) == t for t, x in zip(texts, got)]
+                sizes = np.array([0 if x is None else len(x) for x in got], dtype=np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([x is None for x in got] + [False]))
+                flat = np.concatenate([x for x in got if x is not None]) if any(x is not None for x in got) else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")

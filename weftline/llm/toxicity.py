@@ -49,7 +49,7 @@ def fit_thresholds(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float =
     rows = np.arange(n)
     for step in range(1, steps + 1):
         w, theta = p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
-        z = np.clip(theta[None, :] - (x @ w)[:, None], -30, 30)
+        z = np.clip(theta[None, :] - (x @ w.astype(x.dtype))[:, None], -30, 30)
         s = 1 / (1 + np.exp(-z))
         edge = np.concatenate([np.zeros((n, 1)), s, np.ones((n, 1))], axis=1)
         slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
@@ -58,7 +58,7 @@ def fit_thresholds(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float =
         g_eta = (up - down) / n
         g_theta = np.array([-(up * (grade == j)).sum() / n + (down * (grade == j + 1)).sum() / n for j in range(k)])
         tail = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([x.T @ g_eta + l2 * w, tail[:1], tail[1:] * np.exp(p[d + 1 :])])
+        g = np.concatenate([x.T @ g_eta.astype(x.dtype) + l2 * w, tail[:1], tail[1:] * np.exp(p[d + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
