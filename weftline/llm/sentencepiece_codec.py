@@ -15,6 +15,7 @@ import heapq
 import re
 import struct
 from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,12 @@ from ._common import table, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that the table of frequent words holds at most, and their greatest length; both only change the speed.
-TABLE_WORDS = 1 << 18
+TABLE_WORDS = 1 << 17
 TABLE_LENGTH = 24
 LONG = 256
 EXTRA = 100_000
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
+LETTER = r"[^\W\d_]"
+COUNTED = 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 60
@@ -111,6 +113,28 @@ def escaped(text: str, dummy_prefix: bool = True) -> str:
     return (SPACE + text if dummy_prefix and text else text).replace(" ", SPACE)
 
 
+def word_pattern(model: Model) -> re.Pattern:
+    """Cuts an escaped text into words that no piece reaches across, so that each is encoded alone.
+
+    A word is spaces, signs and then letters.  It ends before a space that no
+    piece holds inside, after letters where no piece goes on from a letter to
+    the sign that follows (signs that some piece joins so count as letters),
+    and around a line feed, if that is in no longer piece.
+    """
+    pieces = [p for p, _, _ in model.usable() if len(p) > 1]
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return re.compile("[\\s\\S]+")
+    letter = re.compile(LETTER)
+    joined = {b for p in pieces for a, b in zip(p, p[1:]) if letter.match(a) and not letter.match(b)}
+    while more := {b for p in pieces for a, b in zip(p, p[1:]) if a in joined and not letter.match(b)} - joined:
+        joined |= more
+    glue = "".join(map(re.escape, sorted(joined)))
+    cut = "" if any("\n" in p for p in pieces) else "\n"
+    word = f"(?:{LETTER}|[{glue}])" if glue else LETTER
+    sign = f"(?:(?![{SPACE}{cut}{glue}])[\\W\\d_])"
+    return re.compile(f"{SPACE}*{sign}*{word}+|{SPACE}*{sign}+|{SPACE}+" + ("|\n" if cut else ""))
+
+
 # The fold in Python, for words beyond the table
 
 
@@ -185,7 +209,7 @@ class Encoder(dict):
         super().__init__(known)
         self.ids = {p: i for p, i, _ in model.usable()}
         self.values = {p: (-s if model.kind == BPE else s) for p, _, s in model.usable()}
-        self.bytes = model.byte_ids()
+        self.bytes, self.words = model.byte_ids(), word_pattern(model).findall
         self.kind, self.longest, self.extra = model.kind, max(map(len, self.values), default=1), []
 
     def __missing__(self, word: str) -> bytes:
@@ -208,10 +232,7 @@ class Encoder(dict):
         return packed
 
     def encode(self, text: str, dummy_prefix: bool) -> np.ndarray:
-        t = escaped(text, dummy_prefix)
-        words = CHUNK.findall(t)
-        head = t[: len(t) - sum(map(len, words))] if not t.startswith(SPACE) else ""
-        return np.frombuffer(b"".join(map(self.__getitem__, [head, *words] if head else words)), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.words(escaped(text, dummy_prefix)))), dtype=np.int32)
 
 
 def piece_bytes(model: Model) -> list[bytes]:
@@ -278,11 +299,30 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, model: Model, *, limit: int = TABLE_WORDS, length: int = TABLE_LENGTH) -> DataFrame:
-    """At most `limit` words with their leading space, all those counted more often than some number, over all documents."""
-    # runs between single spaces, cut without a regex; a longer run of spaces counts as one
-    words = docs.where("text is not null").select(F.explode(F.split("text", " ")).alias("word")).where(f"word <> '' and char_length(word) < {length}")
-    words = words.where(~F.col("word").contains(SPACE)).select(F.concat(F.lit(SPACE), "word").alias("word"))
-    counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    """At most `limit` words, all those counted more often than some number, over all documents.
+
+    Each task counts its own texts, and hands on what it counted whenever
+    COUNTED different words are held; the sums are an ordinary aggregation.
+    """
+
+    def run(batches):
+        words, counts = word_pattern(model).findall, Counter()
+
+        def counted():
+            kept = [(w, n) for w, n in counts.items() if len(w) <= length]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(i, 64).to_pylist():
+                    counts.update(words(escaped(text, model.dummy_prefix)))
+                if len(counts) > COUNTED:
+                    yield counted()
+        yield counted()
+
+    own = docs.where("text is not null and text <> ''").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    counts = written(own.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     most = 100_000
     steps = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # at most `most` rows
     least, total = most + 1, 0
@@ -291,7 +331,7 @@ def frequent_words(docs: DataFrame, model: Model, *, limit: int = TABLE_WORDS, l
         if total > limit:
             break
         least = r["n"]
-    return counts.where(F.col("n") >= least).select("word")
+    return counts.where((F.col("n") >= least) & ~F.col("word").contains("\0")).select("word")
 
 
 def encode(docs: DataFrame, *, model_path: str = MODEL, limit: int = TABLE_WORDS) -> DataFrame:
@@ -308,15 +348,15 @@ def encode(docs: DataFrame, *, model_path: str = MODEL, limit: int = TABLE_WORDS
     words = frequent_words(docs, model, limit=limit)
     found = encode_words(words.repartition(4 * max(1, spark.sparkContext.defaultParallelism)), model).toArrow()
     ids = found["ids"].combine_chunks()
-    # at most `limit` words, each with one space, at its start; packed: workers that wait for other work hold little memory
-    packed = ("".join(found["word"].to_pylist()), np.asarray(ids.flatten(), dtype=np.int32).tobytes(), np.asarray(ids.value_lengths(), dtype=np.int32).tobytes())
+    # at most `limit` words, packed: workers that wait for other work hold little memory
+    packed = ("\0".join(found["word"].to_pylist()), np.asarray(ids.flatten(), dtype=np.int32).tobytes(), np.asarray(ids.value_lengths(), dtype=np.int32).tobytes())
     shared = spark.sparkContext.broadcast((vars(model), packed))
 
     def run(batches):
         fields, (words, ids, lengths) = shared.value
         model = Model(**fields)
         ends = 4 * np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)
-        known = {SPACE + w: ids[b - 4 * n : b] for w, b, n in zip(words.split(SPACE)[1:], ends.tolist(), np.frombuffer(lengths, np.int32).tolist())}
+        known = {w: ids[b - 4 * n : b] for w, b, n in zip(words.split("\0"), ends.tolist(), np.frombuffer(lengths, np.int32).tolist())}
         encoder, parts = Encoder(model, known), piece_bytes(model)
         del known
         for batch in batches:
