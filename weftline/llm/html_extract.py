@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ._common import table
 from .html_pages import page
 
-TRAINING_PAGES = 240
-STEPS = 60
+TRAINING_PAGES = 400
+STEPS = 150
 KEEP = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -237,7 +237,7 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + exp(-x)) if x > -700 else 0.0
 
 
-def fit(pages: list[tuple[str, list[int]]], *, steps: int = STEPS, l2: float = 2e-3) -> tuple[list[float], list]:
+def fit(pages: list[tuple[str, list[int]]], *, steps: int = STEPS, l2: float = 2e-4) -> tuple[list[float], list]:
     """Weights of the features and edge potentials of greatest penalised likelihood.
 
     pages: (html, labels of its block elements below body).  The root is not content.

@@ -41,9 +41,11 @@ class Page:
             self.block(self.rng.choice(["p", "p", "p", "p", "h2", "blockquote"]), self.words(*self.rng.choice([(1, 4), (5, 30), (20, 90)])), label)
 
     def outside(self, tag: str, name: str) -> None:
+        if name and tag in ("div", "section", "aside"):
+            tag = self.rng.choice(["div", "section", "aside", tag])
         self.open(tag, name, 0)
         kind = self.rng.random()
-        if tag in ("ul", "ol") or kind < 0.4:
+        if tag in ("ul", "ol") or kind < 0.3:
             if tag not in ("ul", "ol"):
                 self.open("ul", "", 0)
             for _ in range(self.rng.randint(2, 6)):
@@ -52,7 +54,7 @@ class Page:
                 self.html.append((f'<a href="/x">{text}</a>' if "comment" not in name else text) + "</li>")
             if tag not in ("ul", "ol"):
                 self.html.append("</ul>")
-        elif kind < 0.75:
+        elif kind < 0.5:
             self.html.append(self.words(2, 25))
         else:
             for _ in range(self.rng.randint(1, 3)):
@@ -77,7 +79,7 @@ class Page:
                 self.block("h1", self.words(2, 12), 1)
             for _ in range(r.randint(1, 3)):
                 self.paragraphs(r.randint(1, 5), 1)
-                if r.random() < 0.35:
+                for _ in range(r.choice([0, 0, 1, 1, 2])):
                     self.outside(*r.choice(INSIDE))
                 if r.random() < 0.25:
                     self.open("ul", "", 1)

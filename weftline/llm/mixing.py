@@ -25,6 +25,8 @@ BUDGET, CAP = 1.5, 2.0
 BLOCK = 4096
 #: Documents of a block that may stay undecided: the landing tries all their subsets.
 LAST = 12
+#: Decided documents of a block, the largest, that stay on for the exchanges of the landing.
+RESERVE = 32
 EPS = 1e-9
 
 
@@ -93,7 +95,7 @@ def landing(p: list[float], size: list[int]) -> list[float]:
     return out
 
 
-def settle(p: list[float], size: list[int], want: float, rounds: int = 4) -> list[float]:
+def settle(p: list[float], size: list[int], want: float, rounds: int = 64) -> list[float]:
     """Landed documents with up to `rounds` exchanges, each of one taken for one that isn't, or of one alone.
 
     A large document is decided last, where the small ones left can't make up
@@ -133,7 +135,9 @@ def _fly(land: bool):
             p = flight(p, size, random.Random(seed), LAST)
             if land or t["blocks"][0].as_py() == 1:
                 p = settle(landing(p, size), size, want)
-        return t.set_column(t.column_names.index("p"), "p", pa.array(p, pa.float64()))
+        done = land or t["blocks"][0].as_py() == 1 or not any(0 < x < 1 for x in t["p"].to_pylist())
+        keep = [not done and (i < RESERVE or 0 < x < 1) for i, x in enumerate(p)]  # largest first
+        return t.set_column(t.column_names.index("p"), "p", pa.array(p, pa.float64())).set_column(t.column_names.index("keep"), "keep", pa.array(keep, pa.bool_()))
 
     return block
 
@@ -150,7 +154,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
     read; an empty table gives no rows.  Reruns agree: chance is seeded by
     source and block, and rows are ordered by id and size.
     """
-    schema = "source int, doc_id long, size long, row long, p double, base long, blocks long, block long"
+    schema = "source int, doc_id long, size long, row long, p double, base long, blocks long, block long, keep boolean"
     digest = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")), "mixing")
     # one row a source: the catalogue of sources, not the data
     totals = digest.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
@@ -164,16 +168,16 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
         plan.append((i, r["name"], r["source_size"], t, base, rho - base if rho - base > EPS else 0.0, -(-r["n"] // block)))
     sources = spark.createDataFrame(plan, "source int, name string, source_size long, target double, base long, p double, blocks long")
     placed = digest.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, digest["name"].eqNullSafe(sources["name"]))
-    rows = placed.select("source", "doc_id", "size", "row", "p", "base", "blocks", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"))
+    rows = placed.select("source", "doc_id", "size", "row", "p", "base", "blocks", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"), F.lit(False).alias("keep"))
     flown = written(rows.groupBy("source", "block").applyInArrow(_fly(False), schema), "flight")
-    decided = [flown.where("p <= 0 or p >= 1")]
-    rest = flown.where("p > 0 and p < 1")
-    most = max([x[-1] for x in plan], default=1)  # blocks of the largest source; each leaves LAST rows at most
-    while most > 1:  # two blocks become one, as LAST is small against block
-        most = -(-LAST * most // block)
+    decided = [flown.where("not keep")]
+    rest = flown.where("keep")
+    most = max([x[-1] for x in plan], default=1)  # blocks of the largest source; each leaves LAST + RESERVE rows at most
+    while most > 1:  # two blocks become one, as these are few against block
+        most = -(-(LAST + RESERVE) * most // block)
         rest = written(rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(most))).groupBy("source", "block").applyInArrow(_fly(False), schema), "flight")
-        decided.append(rest.where("p <= 0 or p >= 1"))
-        rest = rest.where("p > 0 and p < 1")
+        decided.append(rest.where("not keep"))
+        rest = rest.where("keep")
     decided.append(rest.withColumn("block", F.lit(0).cast("long")).groupBy("source", "block").applyInArrow(_fly(True), schema))
     out = decided[0]
     for d in decided[1:]:
