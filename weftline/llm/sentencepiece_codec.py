@@ -31,7 +31,7 @@ SPACE = "▁"
 TABLE_WORDS = 1 << 17
 TABLE_LENGTH = 24
 LONG = 256
-EXTRA = 100_000
+EXTRA = 150_000
 LETTER = r"[^\W\d_]"
 COUNTED = 400_000
 UNIGRAM, BPE = 1, 2
@@ -202,37 +202,102 @@ def best_path(word: str, score: dict[str, float], longest: int) -> list[str]:
     return out[::-1]
 
 
+class Merges:
+    """Merges over numbers: a piece's number is its place by rank, so the least merged number is the next merge."""
+
+    def __init__(self, model: Model):
+        ranked = sorted((-s, p, i) for p, i, s in model.usable())
+        self.usable = len({r for r, _, _ in ranked}) == len(ranked) < 1 << 20
+        number = {p: k for k, (_, p, _) in enumerate(ranked)}
+        self.ids = [struct.pack("i", i) for _, _, i in ranked]
+        self.chars = {p: k for p, k in number.items() if len(p) == 1}
+        self.pairs = {number[p[:c]] << 20 | number[p[c:]]: k for p, k in number.items() for c in range(1, len(p)) if p[:c] in number and p[c:] in number}
+        # a piece with a character that is no piece itself can't be merged from numbers
+        self.usable = self.usable and all(c in self.chars for p in number for c in p)
+
+    def fold(self, word: str) -> bytes | None:
+        """Packed ids, or None where a character is no piece."""
+        chars, get = self.chars, self.pairs.get
+        try:
+            parts = [chars[c] for c in word]
+        except KeyError:
+            return None
+        merged = [get(a << 20 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while merged:
+            r = min(merged)
+            if r == NEVER:
+                break
+            i = merged.index(r)
+            parts[i] = r
+            del parts[i + 1], merged[i]
+            if i:
+                merged[i - 1] = get(parts[i - 1] << 20 | r, NEVER)
+            if i < len(merged):
+                merged[i] = get(r << 20 | parts[i + 1], NEVER)
+        return b"".join([self.ids[k] for k in parts])
+
+
 class Encoder(dict):
-    """word -> ids as packed 32-bit integers: the table, and the words folded on the way while they are kept."""
+    """word -> ids of the word after a space, as packed 32-bit integers; `inner` has parts that follow no space.
+
+    Most words are looked up whole; one that isn't there is cut into its parts,
+    and a part that isn't there goes through the fold.  What was found on the
+    way is kept until there is too much of it.
+    """
 
     def __init__(self, model: Model, known: dict[str, bytes]):
-        super().__init__(known)
+        super().__init__((w[1:], ids) for w, ids in known.items() if w[:1] == SPACE)
+        self.inner = {w: ids for w, ids in known.items() if w[:1] != SPACE}
         self.ids = {p: i for p, i, _ in model.usable()}
         self.values = {p: (-s if model.kind == BPE else s) for p, _, s in model.usable()}
         self.bytes, self.words = model.byte_ids(), word_pattern(model).findall
         self.kind, self.longest, self.extra = model.kind, max(map(len, self.values), default=1), []
+        self.merges = Merges(model) if model.kind == BPE else None
+        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.values)
+
+    def keep(self, store: dict, word: str, packed: bytes) -> bytes:
+        if len(self.extra) >= EXTRA:
+            for d, w in self.extra:
+                d.pop(w, None)
+            self.extra.clear()
+        if len(word) <= LONG:
+            self.extra.append((store, word))
+            store[word] = packed
+        return packed
 
     def __missing__(self, word: str) -> bytes:
-        parts = merge_word(word, self.values) if self.kind == BPE else best_path(word, self.values, self.longest)
+        parts = self.words(SPACE + word)
+        return self.keep(self, word, self.fold(parts[0]) if len(parts) == 1 else b"".join(map(self.part, parts)))
+
+    def part(self, part: str) -> bytes:
+        """Ids of a part as it stands in an escaped text."""
+        store, key = (self, part[1:]) if part[0] == SPACE and part[1:2] != SPACE else (self.inner, part)
+        packed = store.get(key)
+        return self.keep(store, key, self.fold(part)) if packed is None else packed
+
+    def fold(self, part: str) -> bytes:
+        if self.merges and self.merges.usable and len(part) <= LONG and (packed := self.merges.fold(part)) is not None:
+            return packed
         out = array("i")
-        for p in parts:
+        for p in merge_word(part, self.values) if self.kind == BPE else best_path(part, self.values, self.longest):
             i = self.ids.get(p)
             if i is None:
                 out.extend([self.bytes[b] for b in p.encode("utf-8")])
             else:
                 out.append(i)
-        packed = out.tobytes()
-        if len(self.extra) >= EXTRA:
-            for w in self.extra:
-                del self[w]
-            self.extra.clear()
-        if len(word) <= LONG:
-            self.extra.append(word)
-            self[word] = packed
-        return packed
+        return out.tobytes()
 
     def encode(self, text: str, dummy_prefix: bool) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.words(escaped(text, dummy_prefix)))), dtype=np.int32)
+        if self.cuts and dummy_prefix and plain(text):
+            packed = b"".join(map(self.__getitem__, text.split(" ")))
+        else:
+            packed = b"".join(map(self.part, self.words(escaped(text, dummy_prefix))))
+        return np.frombuffer(packed, dtype=np.int32)
+
+
+def plain(text: str) -> bool:
+    """Whether the words are what stands between single spaces."""
+    return text != "" and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text
 
 
 def piece_bytes(model: Model) -> list[bytes]:
@@ -306,18 +371,25 @@ def frequent_words(docs: DataFrame, model: Model, *, limit: int = TABLE_WORDS, l
     """
 
     def run(batches):
-        words, counts = word_pattern(model).findall, Counter()
+        words, counts, rest = word_pattern(model).findall, Counter(), Counter()
 
         def counted():
-            kept = [(w, n) for w, n in counts.items() if len(w) <= length]
+            for w, n in counts.items():  # each different word is cut once
+                for p in words(SPACE + w):
+                    rest[p] += n
+            kept = [(w, n) for w, n in rest.items() if len(w) <= length]
             counts.clear()
+            rest.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 for text in batch.column(0).slice(i, 64).to_pylist():
-                    counts.update(words(escaped(text, model.dummy_prefix)))
-                if len(counts) > COUNTED:
+                    if model.dummy_prefix and plain(text):
+                        counts.update(text.split(" "))
+                    else:
+                        rest.update(words(escaped(text, model.dummy_prefix)))
+                if len(counts) + len(rest) > COUNTED:
                     yield counted()
         yield counted()
 
