@@ -64,9 +64,12 @@ def test_disabled_rules_are_counted_as_skipped(spark, project):
 
 
 def test_incremental(spark, project):
-    assert run(spark, quiet(project, incremental=True)).documents.count() == 1
+    first = run(spark, quiet(project, incremental=True))
+    assert first.documents.count() == 1
+    first.close()
     again = run(spark, quiet(project, incremental=True))
     assert again.documents.count() == 0 and again.summary["total"] == 0
+    again.close()
     (project / "README.md").write_text(DOC + "more")
     assert Check(spark, quiet(project, incremental=True)).documents.count() == 1
 

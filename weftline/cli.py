@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for name, text in check.report().items():
             if name == "console" or not config.get("output_path"):
                 print(text)
+        check.close()
         return int(check.summary["errors"] > 0)
     except Exception as e:
         print("Error:", e, file=sys.stderr)

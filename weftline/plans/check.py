@@ -25,18 +25,16 @@ RESULT = ["path", "type", "value", "line", "valid", "skipped", "severity", "mess
 
 
 def state_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at path, or an empty one where there is none or it can't be read."""
-    try:
-        return spark.read.schema(schema).parquet(path) if os.path.isdir(path) else spark.createDataFrame([], schema)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    """The newest version of the table at path, or an empty one where there is none."""
+    versions = sorted((v for v in os.listdir(path) if os.path.exists(os.path.join(path, v, "_SUCCESS"))), key=int) if os.path.isdir(path) else []
+    return spark.read.schema(schema).parquet(os.path.join(path, versions[-1])) if versions else spark.createDataFrame([], schema)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Written beside the old table and moved over it, as the old one may be what df reads."""
-    df.write.mode("overwrite").parquet(path + ".new")
-    shutil.rmtree(path, ignore_errors=True)
-    os.rename(path + ".new", path)
+def replace_table(df: DataFrame, path: str, version: int) -> None:
+    """Writes a new version; the one before stays, as df and what is cached may be read from it."""
+    df.write.mode("overwrite").parquet(os.path.join(path, str(version)))
+    for old in sorted(os.listdir(path), key=int)[:-2]:
+        shutil.rmtree(os.path.join(path, old), ignore_errors=True)
 
 
 @dataclass
@@ -55,10 +53,20 @@ class Check:
     now_ms: int = field(default_factory=lambda: int(time.time() * 1000))
 
     def __post_init__(self):
-        self.spark.catalog.refreshByPath(self.root)  # what an earlier run of this session cached may have changed
+        self.held: list[DataFrame] = []
         for p in self.plugins:
             p.initialize(self.config)
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Cached until close."""
+        self.held.append(df.persist())
+        return df
+
+    def close(self) -> None:
+        """Frees what the run has cached; a later run of the session reads the files anew."""
+        while self.held:
+            self.held.pop().unpersist()
+
     @property
     def root(self) -> str:
         return os.path.abspath(self.config["root_dir"])
@@ -80,13 +88,13 @@ class Check:
         docs = self.all_documents
         if self.config["incremental"]["enabled"] and self.cache:
             docs = state.changed_docs(docs, state_table(self.spark, os.path.join(self.cache, "hashes"), "path string, md5 string"))
-        return docs.select("path", "format", "content").persist()
+        return self.hold(docs.select("path", "format", "content"))
 
     @cached_property
     def code(self) -> DataFrame:
         if "code" in self.given:
             return self.given["code"]
-        return files.code_files(self.spark, self.root, self.config["source_patterns"]).drop("pattern_ord").persist()
+        return self.hold(files.code_files(self.spark, self.root, self.config["source_patterns"]).drop("pattern_ord"))
 
     @cached_property
     def manifests(self) -> DataFrame:
@@ -97,7 +105,7 @@ class Check:
         if "listing" in self.given:
             return self.given["listing"]
         every = files.read(self.spark, self.root, F.lit(True)).select("path")
-        return files.listing(every).persist()
+        return self.hold(files.listing(every))
 
     @cached_property
     def commits(self) -> DataFrame | None:
@@ -105,7 +113,7 @@ class Check:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return index.symbols(self.code).persist()
+        return self.hold(index.symbols(self.code))
 
     @cached_property
     def references(self) -> DataFrame:
@@ -113,7 +121,7 @@ class Check:
         runs = dict(extract.EXTRACTORS) | {"code-snippet": snippets.snippets}
         for p in self.plugins:
             runs |= p.extractors()
-        return extract.extract(self.documents, runs).persist()
+        return self.hold(extract.extract(self.documents, runs))
 
     def validators(self) -> dict[str, Callable[[DataFrame], DataFrame]]:
         def option(kind: str) -> dict:
@@ -145,7 +153,7 @@ class Check:
         probes = self.given.get("probes")
         if probes is None:
             probes = live.probe(validate.to_probe(asked, cache, self.now_ms, u["cache_seconds"]), timeout_ms=u["timeout_ms"], concurrency=u["concurrency"])
-        return validate.url_verdicts(asked, probes, cache, skip_domains=tuple(u["skip_domains"]), severity=self.rule("external-url")["severity"], now_ms=self.now_ms, cache_seconds=u["cache_seconds"]).persist()
+        return self.hold(validate.url_verdicts(asked, probes, cache, skip_domains=tuple(u["skip_domains"]), severity=self.rule("external-url")["severity"], now_ms=self.now_ms, cache_seconds=u["cache_seconds"]))
 
     @cached_property
     def results(self) -> DataFrame:
@@ -160,7 +168,7 @@ class Check:
                 null = F.lit(None).cast("string")
                 rows = refs.withColumns({"valid": F.lit(True), "skipped": F.lit(True), "severity": null, "message": null, "suggestion": null})
             out = rows.select(RESULT) if out is None else out.unionByName(rows.select(RESULT))
-        out = out.persist()
+        out = self.hold(out)
         for p in self.plugins:
             p.after(out)
         return out
@@ -179,7 +187,7 @@ class Check:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.edges(self.references, self.symbols, self.root).persist()
+        return self.hold(graph.edges(self.references, self.symbols, self.root))
 
     @cached_property
     def scores(self) -> DataFrame | None:
@@ -187,7 +195,7 @@ class Check:
             return None
         pairs, docs, s = graph.pairs(self.edges), self.documents, self.config["scoring"]
         parts = [score.validity(docs, self.results), score.time_delta(docs, pairs, self.commits), score.churn(docs, pairs, self.commits), score.coverage(docs, self.references, pairs, graph.code_symbols(self.symbols))]
-        return score.doc_scores(docs, parts, s["weights"], s["thresholds"]).persist()
+        return self.hold(score.doc_scores(docs, parts, s["weights"], s["thresholds"]))
 
     @cached_property
     def project(self) -> dict:
@@ -224,18 +232,18 @@ class Check:
             return
         os.makedirs(self.cache, exist_ok=True)
         if self.config["incremental"]["enabled"]:
-            replace_table(state.new_state(self.all_documents), os.path.join(self.cache, "hashes"))
+            replace_table(state.new_state(self.all_documents), os.path.join(self.cache, "hashes"), self.now_ms)
         if not self.config["graph"]["enabled"]:
             return
-        replace_table(self.edges, os.path.join(self.cache, "edges"))
+        replace_table(self.edges, os.path.join(self.cache, "edges"), self.now_ms)
         meta = [(self.now_ms, self.config_hash(), log.current_commit(self.root))]
-        replace_table(self.spark.createDataFrame(meta, "build_ts_ms long, config_hash string, git_commit string"), os.path.join(self.cache, "graph"))
+        replace_table(self.spark.createDataFrame(meta, "build_ts_ms long, config_hash string, git_commit string"), os.path.join(self.cache, "graph"), self.now_ms)
         refs = self.references.where("type = 'external-url'")
         if self.config["urls"]["enabled"]:
             path = os.path.join(self.cache, "urls")
             schema = "url string, valid boolean, severity string, message string, status_code int, ts_ms long"
             fresh = self.verdicts(refs).where("not skipped").select("url", "valid", "severity", "message", "status_code", F.lit(self.now_ms).alias("ts_ms"))
-            replace_table(state.keep_newest(state_table(self.spark, path, schema).unionByName(fresh), "url", "ts_ms", self.config["urls"]["max_cache"]), path)
+            replace_table(state.keep_newest(state_table(self.spark, path, schema).unionByName(fresh), "url", "ts_ms", self.config["urls"]["max_cache"]), path, self.now_ms)
 
     def report(self) -> dict[str, str]:
         """The text of each reporter; written to the output path where one is set."""
