@@ -116,7 +116,7 @@ def test_formats_and_languages(spark):
 def test_manifests(spark):
     rows = [
         (0, "package.json", '{"engines": {"node": "^18.0.0", "npm": ">=9.0.0"}, "dependencies": {"express": "~4.18.0", "Zod": "3.x"}, "devDependencies": {"express": "5.0.0"}, "peerDependencies": {"peer": "1"}}'),
-        (1, "requirements.txt", "flask>=2.0.1\nrequests==2.31.0\n# comment\ndjango"),
+        (1, "requirements.txt", "requests==2.31.0\n# comment\ndjango\nflask>=2.0.1"),
         (2, "go.mod", "module m\ngo 1.21\nrequire (\n github.com/a/b v1.2.3\n)"),
         (3, "Cargo.toml", '[dependencies]\nserde = "1.0"\n'),
         (4, "pom.xml", "<artifactId>own</artifactId><java.version>17</java.version>"),

@@ -12,15 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import AN, BARS, LOW, ANY, DIGITS, H, S, W, maybe
 from ..functions.paths import example_path, example_symbol
 from ..functions.text import occurrences, trimmed
 
 DOC = ["path", "format", "content"]
 MARKDOWN_LINK = r"\[([^\]\[]*)\]\(([^()\s\[\]]+)\)"
-RST_LINK = r"`([^`]+)[ \t]+<([^<>]+)>`_"
+RST_LINK = rf"`([^`]+){H}+<([^<>]+)>`_"
 ASCIIDOC_LINK = r"link:([^\[\s]+)\[([^\]\[]*)\]"
-PLAIN_FILE = r"^[a-zA-Z0-9_\-/\\]+\.[a-zA-Z]{1,10}\z"
-LINE_SUFFIX = r"(?::[0-9]+(?:-[0-9]*)?|#L[0-9]+(?:-L?[0-9]+)?)\z"
+PLAIN_FILE = rf"^[{AN}_\\/\-]+\.(?:[a-zA-Z]){{1,10}}\z"
+LINE_SUFFIX = rf"(?::{DIGITS}(?:-[0-9]*)?|#L{DIGITS}(?:-L?{DIGITS})?)\z"
 URL = r"""https?://[^\s>\]"']+"""
 TRAILING = ".,;:!?>}]'\""
 
@@ -30,14 +31,14 @@ STOP_WORDS = "array async await boolean class config console const data debug de
 
 #: Aliases in the order in which a block's language is guessed: the first whose alias occurs anywhere in it.
 ALIASES = {"javascript": ["javascript", "js"], "typescript": ["typescript", "ts"], "python": ["python", "py"], "go": ["go", "golang"], "rust": ["rust", "rs"], "java": ["java"], "csharp": ["csharp", "cs", "c#"], "ruby": ["ruby", "rb"], "php": ["php"]}
-_TITLE, _ANY, _SNAKE = "([A-Z][a-zA-Z0-9]+)", "([a-zA-Z][a-zA-Z0-9]+)", "([a-z_][a-zA-Z0-9_]*)"
-_BY_WORD = lambda words, name: [(w, rf"\b{w}\s+{name}") for w in words]
+_TITLE, _ANY, _SNAKE = (f"([{first}][{AN}{rest}]{many})" for first, rest, many in (("A-Z", "", "+"), ("a-zA-Z", "", "+"), ("a-z_", "_", "*")))
+_BY_WORD = lambda words, name: [(w, rf"\b{w}{W}{name}") for w in words]
 SYMBOLS: dict[str, list[tuple[str, str]]] = {
-    "javascript": [("class", rf"\bclass\s+{_TITLE}"), ("function", rf"\bfunction\s+{_ANY}"), ("const", rf"\bconst\s+{_TITLE}\s*="), ("export", rf"\bexport\s+(?:default\s+)?(?:const|function|class)\s+{_ANY}")],
-    "typescript": [*_BY_WORD(["class", "interface", "type"], _TITLE), ("function", rf"\bfunction\s+{_ANY}"), ("export", rf"\bexport\s+\{{\s*{_TITLE}")],
-    "python": [("class", rf"\bclass\s+{_TITLE}"), ("function", rf"\bdef\s+{_SNAKE}")],
-    "go": [("struct", rf"\btype\s+{_TITLE}\s+struct"), ("interface", rf"\btype\s+{_TITLE}\s+interface"), ("function", rf"\bfunc\s+{_TITLE}")],
-    "rust": [*_BY_WORD(["struct", "enum", "trait"], _TITLE), ("function", rf"\bfn\s+{_SNAKE}")],
+    "javascript": [("class", rf"\bclass{W}{_TITLE}"), ("function", rf"\bfunction{W}{_ANY}"), ("const", rf"\bconst{W}{_TITLE}{S}="), ("export", rf"\bexport{W}{maybe('default')}(?:const|function|class){W}{_ANY}")],
+    "typescript": [*_BY_WORD(["class", "interface", "type"], _TITLE), ("function", rf"\bfunction{W}{_ANY}"), ("export", rf"\bexport{W}\{{{S}{_TITLE}")],
+    "python": [("class", rf"\bclass{W}{_TITLE}"), ("function", rf"\bdef{W}{_SNAKE}")],
+    "go": [("struct", rf"\btype{W}{_TITLE}{W}struct"), ("interface", rf"\btype{W}{_TITLE}{W}interface"), ("function", rf"\bfunc{W}{_TITLE}")],
+    "rust": [*_BY_WORD(["struct", "enum", "trait"], _TITLE), ("function", rf"\bfn{W}{_SNAKE}")],
     "java": _BY_WORD(["class", "interface", "enum"], _TITLE),
 }
 
@@ -84,12 +85,12 @@ def versions(docs: DataFrame, technologies: list[str] | None = None) -> DataFram
     """Technologies followed by a version; the technologies replace the default ones."""
     # longer names first where one begins another, as alternatives are tried in order
     names = sorted(technologies or TECHNOLOGIES, key=lambda t: (-len(t), t)) if technologies is None else technologies
-    pattern = rf"(?i)\b({'|'.join(names)})\s+v?(\d+(?:\.\d+)?(?:\.\d+)?(?:\.x)?)\b"
+    pattern = rf"(?i)\b({'|'.join(names)}){W}v?(\d+(?:\.\d+)?(?:\.\d+)?(?:\.x)?)\b"
     found = occurrences(docs.select(*DOC), "content", pattern, {"technology": 1, "version": 2})
     return found.select("path", "format", F.lit("version").alias("type"), F.col("raw").alias("value"), "technology", "version", "line", "raw", "start")
 
 
-PACKAGES = [("npm", r"`(@[a-z0-9-]+/[a-z0-9-]+)`"), ("npm", r"`([a-z][a-z0-9-]{2,})`"), ("go", r"`(github\.com/[a-zA-Z0-9\-_]+/[a-zA-Z0-9\-_]+)`")]
+PACKAGES = [("npm", r"`(@[a-z0-9-]+/[a-z0-9-]+)`"), ("npm", rf"`([a-z][{LOW}-]{{2,}})`"), ("go", rf"`(github\.com/[{AN}\-_]+/[{AN}\-_]+)`")]
 
 
 def packages(docs: DataFrame, ecosystems: tuple[str, ...] = ("npm", "pypi", "crates", "go")) -> DataFrame:
@@ -102,9 +103,9 @@ def packages(docs: DataFrame, ecosystems: tuple[str, ...] = ("npm", "pypi", "cra
     return out.where((F.char_length("value") >= 3) & ~F.lower("value").isin(STOP_WORDS) & ~F.col("value").rlike(r"\.[a-z]{2,4}\z"))
 
 
-FENCE = r"```(?:\w*)\n([\s\S]*?)```"
-RST_BLOCK = r"\.\.\s+code-block::\s*\n\n((?:[ ]{3,}+[^\n]*+\n?+)++)"
-ASCIIDOC_BLOCK = r"----\n([\s\S]*?)----"
+FENCE = rf"```(?:\w*)\n({ANY})```"
+RST_BLOCK = rf"\.\.{W}code-block::{S}\n\n((?:[ ]{{3,}}+[^\n]*+\n?+)++)"
+ASCIIDOC_BLOCK = rf"----\n({ANY})----"
 
 
 def tree_depth(row: Column) -> Column:
@@ -117,8 +118,8 @@ def tree_depth(row: Column) -> Column:
 
 def tree_name(row: Column) -> Column:
     """The one path segment on a line, or '' where there is none to take."""
-    bare = trimmed(F.regexp_replace(F.regexp_replace(row, r"^[\s│|]*[├└+`][\s─-]*", ""), r"^[\s│|]+", ""))
-    name = F.regexp_extract(bare, r"^([a-zA-Z0-9_\-.@]+)/?\z", 1)
+    bare = trimmed(F.regexp_replace(F.regexp_replace(row, rf"^{BARS}*[├└+`][\s─-]*", ""), rf"^{BARS}+", ""))
+    name = F.regexp_extract(bare, rf"^([{AN}_\-.@]+)/?\z", 1)
     return F.when((name == "...") | name.rlike(r"^[=\-_~]+\z"), "").otherwise(name)
 
 
@@ -159,7 +160,7 @@ def code_symbols(docs: DataFrame, aliases: dict[str, list[str]] | None = None, s
     """Symbols declared in fenced code, each at the line of its fence."""
     aliases, symbols = aliases or ALIASES, symbols or SYMBOLS
     tags = "|".join(sorted((a for v in aliases.values() for a in v), key=lambda a: -len(a)))
-    blocks = occurrences(docs.select(*DOC), "content", rf"(?i)```(?:{tags})\n([\s\S]*?)```", {"block": 1}).select("path", "format", "line", F.col("start").alias("at"), F.col("raw").alias("fence"), "block")
+    blocks = occurrences(docs.select(*DOC), "content", rf"(?i)```(?:{tags})\n({ANY})```", {"block": 1}).select("path", "format", "line", F.col("start").alias("at"), F.col("raw").alias("fence"), "block")
     blocks = blocks.withColumn("language", guessed_language(F.col("fence"), aliases)).drop("fence")
     blocks = each_pattern(blocks.withColumnRenamed("line", "fence_line"), symbols)
     found = occurrences(blocks, "block", F.col("regex"), {"value": 1})
@@ -184,7 +185,7 @@ def sections(docs: DataFrame) -> DataFrame:
     """path, ord, heading, text: the text under each '#' heading; what comes first is the Introduction."""
     c = F.col("content")
     rows = F.split(c, "\n")
-    step = lambda acc, r: F.when(r.rlike(r"^#{1,6}[ \t]+\S"), F.concat(acc, F.array(F.struct(F.regexp_replace(r, r"^#{1,6}[ \t]+", "").alias("heading"), F.array().cast("array<string>").alias("rows"))))).otherwise(
+    step = lambda acc, r: F.when(r.rlike(rf"^#{{1,6}}{H}+\S"), F.concat(acc, F.array(F.struct(F.regexp_replace(r, rf"^#{{1,6}}{H}+", "").alias("heading"), F.array().cast("array<string>").alias("rows"))))).otherwise(
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["heading"].alias("heading"), F.concat(F.element_at(acc, -1)["rows"], F.array(r)).alias("rows"))))
     )
     zero = F.array(F.struct(F.lit("Introduction").alias("heading"), F.array().cast("array<string>").alias("rows")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import ANY, ARGS, LET, N, NAME, S, W, maybe
 from ..functions.text import enclosed, lines_at_depth_zero, occurrences, top_level_parts, trimmed
 from .extract import _ANY, _BY_WORD, _SNAKE, _TITLE, each_pattern
 
@@ -16,13 +17,13 @@ EXTENSIONS = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs
 SNIPPET_EXTENSIONS = {k: v for k, v in EXTENSIONS.items() if v not in ("rust", "java")}
 IGNORED = ["**/*.test.*", "**/*.spec.*", "**/*.d.ts", "**/node_modules/**", "**/vendor/**"]
 SNIPPET_IGNORED = [*IGNORED, "**/dist/**", "**/build/**"]
-_JS = [("function", rf"\bexport\s+(?:async\s+)?function\s+{_ANY}"), ("const", rf"\bexport\s+const\s+{_TITLE}"), ("function", rf"\bfunction\s+{_ANY}")]
+_JS = [("function", rf"\bexport{W}{maybe('async')}function{W}{_ANY}"), ("const", rf"\bexport{W}const{W}{_TITLE}"), ("function", rf"\bfunction{W}{_ANY}")]
 DECLARED: dict[str, list[tuple[str, str]]] = {
     "javascript": [*_BY_WORD(["class"], _TITLE), *_JS],
-    "typescript": [*_BY_WORD(["class", "interface"], _TITLE), ("type", rf"\btype\s+{_TITLE}\s*="), *_JS],
-    "python": [*_BY_WORD(["class"], _TITLE), ("function", rf"\bdef\s+{_SNAKE}")],
-    "go": [("struct", rf"\btype\s+{_TITLE}\s+struct"), ("interface", rf"\btype\s+{_TITLE}\s+interface"), ("function", rf"\bfunc\s+(?:\([^)]+\)\s+)?{_TITLE}")],
-    "rust": [*_BY_WORD(["struct", "enum", "trait"], _TITLE), ("function", rf"\bpub\s+fn\s+{_SNAKE}"), ("function", rf"\bfn\s+{_SNAKE}")],
+    "typescript": [*_BY_WORD(["class", "interface"], _TITLE), ("type", rf"\btype{W}{_TITLE}{S}="), *_JS],
+    "python": [*_BY_WORD(["class"], _TITLE), ("function", rf"\bdef{W}{_SNAKE}")],
+    "go": [("struct", rf"\btype{W}{_TITLE}{W}struct"), ("interface", rf"\btype{W}{_TITLE}{W}interface"), ("function", rf"\bfunc{W}(?:\([^)]+\){W})?{_TITLE}")],
+    "rust": [*_BY_WORD(["struct", "enum", "trait"], _TITLE), ("function", rf"\bpub{W}fn{W}{_SNAKE}"), ("function", rf"\bfn{W}{_SNAKE}")],
     "java": _BY_WORD(["class", "interface", "enum"], _TITLE),
 }
 
@@ -45,12 +46,12 @@ def exports(code: DataFrame) -> DataFrame:
     c = F.col("content")
     every = lambda p, k=1: F.regexp_extract_all(c, F.lit(p), F.lit(k))
     public = lambda names: F.filter(names, lambda n: ~n.startswith("_"))
-    python = public(F.concat(every(r"(?m)^(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("), every(r"(?m)^class\s+([A-Za-z_]\w*)\b"), every(r"(?m)^([A-Za-z_]\w*)\s*=")))
+    python = public(F.concat(every(rf"(?m)^{maybe('async')}def{W}({NAME}){S}\("), every(rf"(?m)^class{W}({NAME})\b"), every(rf"(?m)^({NAME}){S}=")))
     items = lambda p, cut: F.flatten(F.transform(every(p), lambda body: F.transform(F.split(body, ","), lambda x: trimmed(F.get(F.split(trimmed(x), cut), F.lit(0))))))
-    direct = every(r"export\s+(?:default\s+)?(?:async\s+)?(?:class|const|enum|function|interface|let|type|var)\s+(\w+)")
-    named, cjs = items(r"export\s*\{([^}]+)\}", r"\s+as\s+"), items(r"module\.exports\s*=\s*\{([^}]+)\}", r"\s*:")
-    default = every(r"export\s+default\s+(\w+)\s*[;\n]")
-    declared = every(r"export\s+default\s+(?:async\s+)?(?:function|class)\b(?:\s+(\w+))?")
+    direct = every(rf"export{W}{maybe('default')}{maybe('async')}(?:class|const|enum|function|interface|let|type|var){W}{N}")
+    named, cjs = items(rf"export{S}\{{([^}}]+)\}}", rf"{W}as{W}"), items(rf"module\.exports{S}={S}\{{([^}}]+)\}}", rf"{S}:")
+    default = every(rf"export{W}default{W}{N}{S}[;\n]")
+    declared = every(rf"export{W}default{W}{maybe('async')}(?:function|class)\b(?:{W}{N})?")
     flag = F.when((F.size(default) > 0) | (F.size(declared) > 0), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
     script = F.concat(direct, named, default, declared, cjs, flag)
     names = F.array_distinct(F.filter(F.when(F.col("language") == "python", python).otherwise(script), lambda n: n != ""))
@@ -61,17 +62,17 @@ def _parameters(raw: Column, language: Column) -> Column:
     """array<struct<name, free>>: free parameters need no argument."""
     script = language != "python"
     parts = top_level_parts(raw, "(<[{", ")>]}", keep_empty=True)
-    name = lambda p: F.when(script, F.regexp_extract(p, r"^(?:\.\.\.)?(\w+)", 1)).otherwise(F.regexp_extract(p, r"^\*{0,2}(\w+)", 1))
+    name = lambda p: F.when(script, F.regexp_extract(p, rf"^(?:\.\.\.)?{N}", 1)).otherwise(F.regexp_extract(p, rf"^\*{{0,2}}{N}", 1))
     # a default is a '=' outside brackets that begins no arrow
     flat = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"=>", "~"), r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", ""), r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    free = lambda p: p.startswith("...") | p.startswith("*") | (script & p.rlike(r"^\w+\s*\?")) | F.regexp_replace(flat(p), r"[(\[{<].*", "").contains("=")
+    free = lambda p: p.startswith("...") | p.startswith("*") | (script & p.rlike(rf"^\w+{S}\?")) | F.regexp_replace(flat(p), r"[(\[{<].*", "").contains("=")
     return F.filter(F.transform(parts, lambda p: F.struct(name(p).alias("name"), free(p).alias("free"))), lambda s: s["name"] != "")
 
 
 def signatures(code: DataFrame) -> DataFrame:
     """name, params, required, file_path, pattern, start of functions in JavaScript, TypeScript and Python."""
-    script = [("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"), ("arrow", r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)[^{;]*=>")]
-    rows = each_pattern(code.select("path", "language", "content"), {"javascript": script, "typescript": script, "python": [("def", r"def\s+(\w+)\s*\(([^)]*)\)")]}, None)
+    script = [("function", rf"{maybe('export')}{maybe('async')}function{W}{N}{S}{ARGS}"), ("arrow", rf"{maybe('export')}{LET}{W}{N}{S}={S}{maybe('async')}{ARGS}[^{{;]*=>")]
+    rows = each_pattern(code.select("path", "language", "content"), {"javascript": script, "typescript": script, "python": [("def", rf"def{W}{N}{S}{ARGS}")]}, None)
     found = occurrences(rows, "content", F.col("regex"), {"name": 1, "raw_params": 2})
     found = found.withColumn("p", _parameters(F.col("raw_params"), F.col("language")))
     # once one is free, none after it is required
@@ -86,21 +87,21 @@ def signatures(code: DataFrame) -> DataFrame:
 
 def interface_keys(code: DataFrame) -> DataFrame:
     """type_name, key: keys of TypeScript's interfaces and object types, those of one name together."""
-    heads = [("interface", r"(?:export\s+)?interface\s+(\w+)(?:\s+extends\s+[\w,\s<>]+)?\s*\{"), ("type", r"(?:export\s+)?type\s+(\w+)\s*=\s*\{")]
+    heads = [("interface", rf"{maybe('export')}interface{W}{N}(?:{W}extends{W}[\w,\s<>]+)?{S}\{{"), ("type", rf"{maybe('export')}type{W}{N}{S}={S}\{{")]
     rows = each_pattern(code.select("path", "language", "content"), {"typescript": heads}, None)
     found = occurrences(rows, "content", F.col("regex"), {"type_name": 1})
     body = enclosed(F.substring("content", F.col("start") + F.char_length("raw"), F.lit(1 << 20)), "{", "}")
-    keys = F.filter(F.transform(lines_at_depth_zero(body), lambda r: F.regexp_extract(r, r"^(?:readonly\s+)?(\w+)\??\s*:", 1)), lambda k: k != "")
+    keys = F.filter(F.transform(lines_at_depth_zero(body), lambda r: F.regexp_extract(r, rf"^(?:readonly{W})?{N}\??{S}:", 1)), lambda k: k != "")
     return found.select("type_name", F.explode(keys).alias("key")).distinct()
 
 
-_LINE, _BLOCK, _DOC = ("line", r"//[^\n]*"), ("block", r"/\*[\s\S]*?\*/"), ("doc", r"/\*\*[\s\S]*?\*/")
+_LINE, _BLOCK, _DOC = ("line", r"//[^\n]*"), ("block", rf"/\*{ANY}\*/"), ("doc", rf"/\*\*{ANY}\*/")
 #: Patterns in the order in which a file is read by each; Rust's doc lines are found twice.
 COMMENTS: dict[str, list[tuple[str, str]]] = {
     "javascript": [_DOC, _LINE], "typescript": [_DOC, _LINE], "go": [_LINE, _BLOCK], "java": [_DOC, _LINE],
-    "python": [("docstring", r'"""[\s\S]*?"""'), ("line", r"#[^\n]*")], "rust": [("doc", r"///[^\n]*"), _LINE],
+    "python": [("docstring", rf'"""{ANY}"""'), ("line", r"#[^\n]*")], "rust": [("doc", r"///[^\n]*"), _LINE],
 }
-NEXT_SYMBOL = r"(?:async|class|const|def|fn|func|function|interface|let|struct|type|var)\s+(\w+)"
+NEXT_SYMBOL = rf"(?:async|class|const|def|fn|func|function|interface|let|struct|type|var){W}{N}"
 
 
 def comments(code: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def comments(code: DataFrame) -> DataFrame:
     rows = each_pattern(code.select("path", "language", "content"), COMMENTS, "javascript")
     found = occurrences(rows, "content", F.col("regex"))
     bare = F.col("raw")
-    for mark in (r"^/\*\*|\*/\z", r"(?m)^///?", r"(?m)^#", r"(?m)^\s*\*\s?"):
+    for mark in (r"^/\*\*|\*/\z", r"(?m)^///?", r"(?m)^#", rf"(?m)^{S}\*\s?"):
         bare = F.regexp_replace(bare, mark, "")
     after = F.regexp_extract(F.substring("content", F.col("start") + 1, F.lit(1 << 20)), NEXT_SYMBOL, 1)
     return found.select("path", "language", "kind", trimmed(bare).alias("text"), F.when(after == "", "unknown").otherwise(after).alias("symbol"), "pattern", "start").where("text <> ''")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import QUOTED, ANY, H, LET, N, NAME, S, W
 from ..functions.text import enclosed, lines_at_depth_zero, occurrences, top_level_parts, trimmed
 from .extract import DOC
 
@@ -20,19 +21,19 @@ NO_CALLS = set(
     abs all any bool classmethod delattr dict dir enumerate filter float format getattr hasattr hash id input int isinstance issubclass len list map max min open print property range repr reversed round set setattr sorted staticmethod str sum tuple type zip
     afterAll afterEach beforeAll beforeEach describe expect it jest mock spy test vi append close copy make panic println recover Errorf Printf Println Sprintf""".split()
 ) - {"as"}
-JS_IMPORT = r"""(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^'"\n]*?[^ \t'"\n])[ \t]+from[ \t]+['"]([^'"]+)['"]"""
-REQUIRE = r"""(?:const|let|var)[ \t]+(?:\{([^{}]*)\}|(\w+))[ \t]*=[ \t]*require\([ \t]*['"]([^'"]+)['"][ \t]*\)"""
-PY_IMPORT = r"from\s+([\w.]+)\s+import\s+(.+)"
-GO_IMPORT, GO_GROUP = r'import\s+"([^"]+)"', r"import[ \t]*\(([^()]*)\)"
-CALL = r"\b([a-zA-Z_]\w*)\s*\("
-NOT_BEFORE = r"\b(?:class|def|function|interface|new|type|typeof)\s*\z"
-TYPED_OBJECT, TYPED_CALL = r"(?:const|let|var)\s+\w+\s*:\s*([A-Z]\w+)\s*=\s*\{", r"\b(?:[a-zA-Z_]\w*)<([A-Z]\w+)>[ \t]*\([ \t]*\{"
+JS_IMPORT = rf"""(?m)^{H}*import{H}+(?:type{H}+)?([^'"\n]*?[^ \t'"\n]){H}+from{H}+{QUOTED}"""
+REQUIRE = rf"""{LET}{H}+(?:\{{([^{{}}]*)\}}|{N}){H}*={H}*require\({H}*{QUOTED}{H}*\)"""
+PY_IMPORT = rf"from{W}([\w.]+){W}import{W}(.+)"
+GO_IMPORT, GO_GROUP = rf'import{W}"([^"]+)"', rf"import{H}*\(([^()]*)\)"
+CALL = rf"\b({NAME}){S}\("
+NOT_BEFORE = rf"\b(?:class|def|function|interface|new|type|typeof){S}\z"
+TYPED_OBJECT, TYPED_CALL = rf"{LET}{W}\w+{S}:{S}([A-Z]\w+){S}={S}\{{", rf"\b(?:{NAME})<([A-Z]\w+)>{H}*\({H}*\{{"
 COLUMNS = ["path", "type", "kind", "value", "line", "raw", "language", "link_text", "import_specifiers", "argument_names", "at", "step", "start"]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """path, fence_line, at, language, block of the fences in a known language."""
-    found = occurrences(docs.select(*DOC), "content", r"```(\w+)\n([\s\S]*?)```", {"tag": 1, "block": 2})
+    found = occurrences(docs.select(*DOC), "content", rf"```{N}\n({ANY})```", {"tag": 1, "block": 2})
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return found.select("path", F.col("line").alias("fence_line"), F.col("start").alias("at"), F.try_element_at(table, F.lower("tag")).alias("language"), "block").where("language is not null")
 
@@ -62,7 +63,7 @@ def imports(code: DataFrame) -> DataFrame:
     named = F.when(braces > 0, _named(inner(F.substring(what, braces, F.lit(1 << 20))))).otherwise(F.array().cast("array<string>"))
     first = trimmed(F.regexp_replace(trimmed(F.when(braces > 0, F.substring(what, F.lit(1), braces - 1)).otherwise(what)), r",\z", ""))
     default = F.filter(F.array(first), lambda s: s != "")
-    star, space = what.startswith("*"), F.regexp_extract(what, r"^\*\s+as\s+(\w+)\z", 1)
+    star, space = what.startswith("*"), F.regexp_extract(what, rf"^\*{W}as{W}{N}\z", 1)
     none = F.array().cast("array<string>")
     symbols = F.when(star, none).otherwise(F.concat(default, named))
     specs = F.when(star, F.when(space != "", F.array(F.concat(F.lit("namespace:"), space))).otherwise(none)).otherwise(F.concat(_tagged(default, "default"), _tagged(named, "named")))
@@ -96,7 +97,7 @@ def calls(code: DataFrame) -> DataFrame:
     found = found.withColumn("inner", enclosed(tail, "(", ")")).where("inner is not null")
     parts = top_level_parts(F.col("inner"), "([{", ")]}")
     found = found.withColumn("parts", F.when(trimmed(F.col("inner")) == "", F.array().cast("array<string>")).otherwise(parts))
-    bare = F.transform("parts", lambda p: F.regexp_extract(p, r"^(?:\.\.\.)?([a-zA-Z_]\w*)\z", 1))
+    bare = F.transform("parts", lambda p: F.regexp_extract(p, rf"^(?:\.\.\.)?({NAME})\z", 1))
     return _rows(found, 5, kind=F.lit("function-call"), value=F.col("name"), raw=F.regexp_replace("raw", r"\(\z", ""), link_text=F.size("parts").cast("string"), argument_names=F.when(F.forall(bare, lambda n: n != ""), bare))
 
 
@@ -107,7 +108,7 @@ def config_keys(code: DataFrame) -> DataFrame:
     for step, pattern in ((6, TYPED_OBJECT), (7, TYPED_CALL)):
         found = occurrences(js, "block", pattern, {"type_name": 1})
         body = enclosed(F.substring("block", F.col("start") + F.char_length("raw"), F.lit(1 << 20)), "{", "}")
-        keyed = F.transform(lines_at_depth_zero(body), lambda r: F.when(r.rlike(r"^\w+\s*\??:"), F.regexp_extract(r, r"^(\w+)", 1)).otherwise(F.regexp_extract(r, r"^(?!(?:true|false|null|undefined)\b)(\w+)\s*[,}]?\s*\z", 1)))
+        keyed = F.transform(lines_at_depth_zero(body), lambda r: F.when(r.rlike(rf"^\w+{S}\??:"), F.regexp_extract(r, rf"^{N}", 1)).otherwise(F.regexp_extract(r, rf"^(?!(?:true|false|null|undefined)\b){N}{S}[,}}]?{S}\z", 1)))
         found = found.withColumn("keys", F.array_distinct(F.filter(keyed, lambda k: k != ""))).where("size(keys) > 0")
         joined = F.concat(F.col("type_name"), F.lit(" { "), F.array_join("keys", ", "), F.lit(" }"))
         rows = _rows(found, step, kind=F.lit("config-keys"), value=F.array_join("keys", ","), raw=joined, link_text=F.col("type_name"))

@@ -144,7 +144,7 @@ def packages(refs: DataFrame, dependencies: DataFrame, *, severity: str = "info"
 
 
 GET_FIRST = ["code.visualstudio.com", "docs.microsoft.com", "learn.microsoft.com", "marketplace.visualstudio.com", "visualstudio.microsoft.com"]
-PLACEHOLDER = r"\$\{.*\}|\{\{.*\}\}|<%.*%>"
+PLACEHOLDER = "|".join(f"{a}.*{b}" for a, b in ((r"\$\{", r"\}"), (r"\{\{", r"\}\}"), ("<%", "%>")))
 V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z"
 
 

@@ -7,8 +7,10 @@ lists from which places are summed.
 from __future__ import annotations
 
 from ..functions.paths import EXAMPLE_START, UI_NAMES
-from ..operators.extract import ALIASES, STOP_WORDS, SYMBOLS, TECHNOLOGIES
+from ..functions.patterns import ANY, NAME, PKG, TAKEN, N, S, W, maybe
+from ..operators.extract import ALIASES, ASCIIDOC_BLOCK, LINE_SUFFIX, PACKAGES, RST_BLOCK, RST_LINK, STOP_WORDS, SYMBOLS, TECHNOLOGIES
 from ..operators.index import DECLARED
+from ..operators.snippets import GO_GROUP, GO_IMPORT, JS_IMPORT, PY_IMPORT, REQUIRE
 from ..sources.corpora import with_corpora
 
 NL = "(length({x}) - length(replace({x}, chr(10), '')))"
@@ -49,13 +51,13 @@ def normal(x: str) -> str:
 
 MD = "(SELECT * FROM docs_syn WHERE format NOT IN ('restructuredtext', 'asciidoc'))"
 RST, ADOC = "(SELECT * FROM docs_syn WHERE format = 'restructuredtext')", "(SELECT * FROM docs_syn WHERE format = 'asciidoc')"
-SUFFIX = "'(?::[0-9]+(?:-[0-9]*)?|#L[0-9]+(?:-L?[0-9]+)?)$'"
+SUFFIX = quoted(LINE_SUFFIX)
 LINKS = f"""
 links AS (
   SELECT path, regexp_replace(target, {SUFFIX}, '') AS value, link_text, line, nullif(regexp_replace(regexp_extract(target, {SUFFIX}), '^[:#]L?', ''), '') AS line_ref, raw FROM (
     SELECT path, target, link_text, line, raw FROM {hits(MD, 'path', quoted(r'[[]([^]\[]*)[]]\(([^()\s\[\]]+)\)'), {'link_text': 1, 'target': 2})}
       WHERE starts_with(target, '../') OR starts_with(target, './') OR regexp_matches(target, '^[a-zA-Z0-9_\\-/]+\\.[a-zA-Z]{{1,10}}$')
-    UNION ALL SELECT path, target, link_text, line, raw FROM {hits(RST, 'path', quoted(r'`([^`]+)[ \t]+<([^<>]+)>`_'), {'link_text': 1, 'target': 2})}
+    UNION ALL SELECT path, target, link_text, line, raw FROM {hits(RST, 'path', quoted(RST_LINK), {'link_text': 1, 'target': 2})}
     UNION ALL SELECT path, target, link_text, line, raw FROM {hits(ADOC, 'path', quoted(r'link:([^\[\s]+)\[([^\]\[]*)\]'), {'target': 1, 'link_text': 2})}
   ) WHERE NOT regexp_matches(target, '^(?:https?://|#)')
 )"""
@@ -67,11 +69,11 @@ url_rows AS (SELECT path, raw, line, {_TRIM.format(x='b')} AS value FROM (SELECT
 _TECH = "|".join(sorted(TECHNOLOGIES, key=lambda t: (-len(t), t)))
 VERSION_ROWS = f"""
 version_rows AS (SELECT path, technology, version, line, raw FROM {hits('docs_syn', 'path', quoted(rf'(?i)\b({_TECH})\s+v?(\d+(?:\.\d+)?(?:\.\d+)?(?:\.x)?)\b'), {'technology': 1, 'version': 2})})"""
-_PKG = " UNION ALL ".join(f"SELECT path, value, '{e}' AS ecosystem, line FROM {hits('docs_syn', 'path', quoted(p), {'value': 1})}" for e, p in (("npm", r"`(@[a-z0-9-]+/[a-z0-9-]+)`"), ("npm", r"`([a-z][a-z0-9-]{2,})`"), ("go", r"`(github\.com/[a-zA-Z0-9\-_]+/[a-zA-Z0-9\-_]+)`")))
+_PKG = " UNION ALL ".join(f"SELECT path, value, '{e}' AS ecosystem, line FROM {hits('docs_syn', 'path', quoted(p), {'value': 1})}" for e, p in PACKAGES)
 PACKAGE_ROWS = f"""
 package_rows AS (SELECT * FROM ({_PKG}) WHERE length(value) >= 3 AND lower(value) NOT IN ({', '.join(map(quoted, STOP_WORDS))}) AND NOT regexp_matches(value, '\\.[a-z]{{2,4}}$'))"""
 _NORM = "CASE WHEN coalesce({x}, '') = '' THEN 'any' ELSE regexp_replace(regexp_replace({x}, '^[\\^~>=<]+', ''), '(?i)\\.x$', '.0') END"
-_REQ = r"'^([a-zA-Z0-9\-_]+)([<>=!]+)?(.+)?$'"
+_REQ = f"'^{PKG}([!<=>]+)?(.+)?$'"
 MANIFEST_ROWS = f"""
 pkg AS (SELECT ord, content::json AS j FROM manifests_syn WHERE name = 'package.json'),
 manifest_lines AS (SELECT ord, name, pos, trim(r[pos]) AS r, r[pos] AS whole FROM (SELECT ord, name, string_split(content, chr(10)) AS r FROM manifests_syn), unnest(range(1, len(r) + 1)) AS t(pos)),
@@ -89,7 +91,7 @@ manifest_rows AS (
   UNION ALL SELECT ord, 7, i, regexp_extract(r, '^(\\S+)\\s+v?(\\S+)', 1), {_NORM.format(x="regexp_extract(r, '^(\\S+)\\s+v?(\\S+)', 2)")} FROM go_lines WHERE regexp_matches(r, '^(\\S+)\\s+v?(\\S+)')
   UNION ALL SELECT ord, 8, i, lower(regexp_extract(r, '^([a-zA-Z0-9\\-_]+)\\s*=\\s*"?([^"\\n]+)"?', 1)), {_NORM.format(x="regexp_extract(r, '^([a-zA-Z0-9\\-_]+)\\s*=\\s*\"?([^\"\\n]+)\"?', 2)")} FROM cargo_lines WHERE regexp_matches(r, '^([a-zA-Z0-9\\-_]+)\\s*=')
   UNION ALL SELECT ord, 9, 0, 'java', regexp_extract(content, '<java\\.version>([^<]+)<', 1) FROM manifests_syn WHERE manifests_syn.name = 'pom.xml'
-  UNION ALL SELECT ord, 10, 0, lower(regexp_extract(content, '<dependency>[\\s\\S]*?<artifactId>([^<]+)<', 1)), {_NORM.format(x="regexp_extract(content, '<dependency>[\\s\\S]*?<version>([^<]+)<', 1)")} FROM manifests_syn WHERE manifests_syn.name = 'pom.xml'
+  UNION ALL SELECT ord, 10, 0, lower(regexp_extract(content, '<dependency>{ANY}<artifactId>{TAKEN}<', 1)), {_NORM.format(x=f"regexp_extract(content, '<dependency>{ANY}<version>{TAKEN}<', 1)")} FROM manifests_syn WHERE manifests_syn.name = 'pom.xml'
 ),
 effective AS (SELECT name, arg_max(version, (ord, part, pos)) AS version FROM manifest_rows GROUP BY name)"""
 DEPENDENCY_ROWS = """
@@ -117,8 +119,8 @@ SUMMARY = "SELECT count(*) AS total, count_if(b = 'valid') AS valid, count_if(b
 BLOCKS = f"""
 tree_blocks AS (
   SELECT path, line, start, block FROM {hits(MD, 'path', quoted('```(?:' + chr(92) + 'w*)' + chr(92) + 'n([' + chr(92) + 's' + chr(92) + 'S]*?)```'), {'block': 1})}
-  UNION ALL SELECT path, line, start, block FROM {hits(RST, 'path', quoted(r'\.\.\s+code-block::\s*\n\n((?:[ ]{3,}[^\n]*\n?)+)'), {'block': 1})}
-  UNION ALL SELECT path, line, start, block FROM {hits(ADOC, 'path', quoted(r'----\n([\s\S]*?)----'), {'block': 1})}
+  UNION ALL SELECT path, line, start, block FROM {hits(RST, 'path', quoted(RST_BLOCK.replace('}+', '}').replace('*+', '*').replace('?+', '?').replace('++', '+')), {'block': 1})}
+  UNION ALL SELECT path, line, start, block FROM {hits(ADOC, 'path', quoted(ASCIIDOC_BLOCK), {'block': 1})}
 ),
 tree_lines AS (
   SELECT path, line, start, pos, r[pos] AS r FROM (SELECT *, string_split(block, chr(10)) AS r FROM tree_blocks WHERE regexp_matches(block, '[├│└]|\\|--|`--')), unnest(range(1, len(r) + 1)) AS t(pos)
@@ -243,8 +245,8 @@ score_rows AS (
   SELECT *, floor(raw + 0.5)::bigint AS total_score, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 80 THEN 'B' WHEN raw >= 70 THEN 'C' WHEN raw >= 60 THEN 'D' ELSE 'F' END AS grade FROM (
     SELECT *, round(reference_validity * 0.4::double + git_time_delta * 0.3::double + code_change_frequency * 0.15::double + symbol_coverage * 0.15::double, 9) AS raw FROM f_validity JOIN f_delta USING (path) JOIN f_churn USING (path) JOIN f_coverage USING (path))
 )"""
-_MODULE = r"""'(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^''"\n]*?[^ \t''"\n])[ \t]+from[ \t]+[''"]([^''"]+)[''"]'"""
-_REQUIRE = r"""'(?:const|let|var)[ \t]+(?:\{([^{}]*)\}|(\w+))[ \t]*=[ \t]*require\([ \t]*[''"]([^''"]+)[''"][ \t]*\)'"""
+_MODULE = quoted(JS_IMPORT)
+_REQUIRE = quoted(REQUIRE)
 _NAMES = "list_filter(list_transform(string_split({x}, ','), lambda s: trim(regexp_replace(trim(s), ' as .*$', ''))), lambda s: s <> '')"
 _KNOWN = "CASE lower(tag) WHEN 'ts' THEN 'typescript' WHEN 'python' THEN 'python' WHEN 'go' THEN 'go' END"
 IMPORT_ROWS = f"""
@@ -258,18 +260,21 @@ import_rows AS (
   SELECT path, module AS value, fence_line + line - 1 AS line, language, array_to_string(list_concat(def, named), ',') AS link_text,
     array_to_string(list_concat(list_transform(def, lambda s: 'default:' || s), list_transform(named, lambda s: 'named:' || s)), ';') AS specifiers FROM es
   UNION ALL SELECT path, module, fence_line + line - 1, language, '', 'module:*' FROM {hits("(SELECT * FROM snips WHERE language = 'typescript')", 'path, fence_line, language', _REQUIRE, {'module': 3})} WHERE starts_with(module, '.')
-  UNION ALL SELECT path, module, fence_line + line - 1, language, array_to_string({_NAMES.format(x='what')}, ','), array_to_string(list_transform({_NAMES.format(x='what')}, lambda s: 'named:' || s), ';') FROM {hits("(SELECT * FROM snips WHERE language = 'python')", 'path, fence_line, language', quoted(r'from\s+([\w.]+)\s+import\s+(.+)'), {'module': 1, 'what': 2})}
-  UNION ALL SELECT path, module, fence_line + line - 1, language, NULL, NULL FROM {hits("(SELECT * FROM snips WHERE language = 'go')", 'path, fence_line, language', quoted(r'import\s+"([^"]+)"'), {'module': 1})}
-  UNION ALL SELECT path, unnest(regexp_extract_all(body, '"([^"]+)"', 1)), fence_line + line - 1, language, NULL, NULL FROM {hits("(SELECT * FROM snips WHERE language = 'go')", 'path, fence_line, language', quoted(r'import[ \t]*\(([^()]*)\)'), {'body': 1})}
+  UNION ALL SELECT path, module, fence_line + line - 1, language, array_to_string({_NAMES.format(x='what')}, ','), array_to_string(list_transform({_NAMES.format(x='what')}, lambda s: 'named:' || s), ';') FROM {hits("(SELECT * FROM snips WHERE language = 'python')", 'path, fence_line, language', quoted(PY_IMPORT), {'module': 1, 'what': 2})}
+  UNION ALL SELECT path, module, fence_line + line - 1, language, NULL, NULL FROM {hits("(SELECT * FROM snips WHERE language = 'go')", 'path, fence_line, language', quoted(GO_IMPORT), {'module': 1})}
+  UNION ALL SELECT path, unnest(regexp_extract_all(body, '"([^"]+)"', 1)), fence_line + line - 1, language, NULL, NULL FROM {hits("(SELECT * FROM snips WHERE language = 'go')", 'path, fence_line, language', quoted(GO_GROUP), {'body': 1})}
 )"""
 _EXPORT = lambda p, k=1: f"regexp_extract_all(content, {quoted(p)}, {k})"
+_ASYNC = maybe("async")
+_DIRECT = rf"export{W}{maybe('default')}{_ASYNC}(?:class|const|enum|function|interface|let|type|var){W}{N}"
+_DEFAULT = rf"export{W}default{W}{N}{S}[;\n]"
 EXPORT_ROWS = f"""
 export_rows AS (
   SELECT DISTINCT path, symbol FROM (
-    SELECT path, unnest(list_concat({_EXPORT(r'(?m)^(?:async[ ]+)?def\s+([A-Za-z_]\w*)\s*[(]')}, list_concat({_EXPORT(r'(?m)^class\s+([A-Za-z_]\w*)')}, {_EXPORT(r'(?m)^([A-Za-z_]\w*)\s*=')}))) AS symbol FROM code_syn WHERE language = 'python'
-    UNION ALL SELECT path, unnest({_EXPORT(r'export\s+(?:default\s+)?(?:async\s+)?(?:class|const|enum|function|interface|let|type|var)\s+(\w+)')}) FROM code_syn WHERE language <> 'python'
+    SELECT path, unnest(list_concat({_EXPORT(rf'(?m)^{_ASYNC}def{W}({NAME}){S}[(]')}, list_concat({_EXPORT(rf'(?m)^class{W}({NAME})')}, {_EXPORT(rf'(?m)^({NAME}){S}=')}))) AS symbol FROM code_syn WHERE language = 'python'
+    UNION ALL SELECT path, unnest({_EXPORT(_DIRECT)}) FROM code_syn WHERE language <> 'python'
     UNION ALL SELECT path, trim(regexp_replace(trim(unnest(flatten(list_transform({_EXPORT(r'export\s*[{]([^}]+)[}]')}, lambda b: string_split(b, ','))))), '\\s+as\\s+.*$', '')) FROM code_syn WHERE language <> 'python'
-    UNION ALL SELECT path, unnest(list_concat({_EXPORT(r'export\s+default\s+(\w+)\s*[;' + chr(10) + ']')}, ['default'])) FROM code_syn WHERE language <> 'python' AND regexp_matches(content, 'export\\s+default\\s+\\w+\\s*[;\\n]')
+    UNION ALL SELECT path, unnest(list_concat({_EXPORT(_DEFAULT)}, ['default'])) FROM code_syn WHERE language <> 'python' AND regexp_matches(content, 'export\\s+default\\s+\\w+\\s*[;\\n]')
   ) WHERE symbol <> '' AND NOT (starts_with(symbol, '_') AND path LIKE '%.py')
 )"""
 _CLEAN = "regexp_replace(regexp_replace(value, '^(\\./|(\\.\\./)+)', ''), '^\\.+', '')"
@@ -308,11 +313,11 @@ import_results AS (
 _IP = "regexp_extract(host, '^(\\d{{1,3}})\\.(\\d{{1,3}})\\.(\\d{{1,3}})\\.(\\d{{1,3}})$', {k})"
 _OCT = lambda k: f"nullif({_IP.format(k=k)}, '')::int"
 URL_RESULTS = f"""
-url_parts AS (SELECT DISTINCT url, lower(nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1), '')) AS scheme, lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), '')) AS host, regexp_matches(url, '[{{}} ]') AS broken FROM urls),
+url_parts AS (SELECT DISTINCT url, lower(nullif(regexp_extract(url, '^([a-zA-Z][+.0-9a-zA-Z-]*)://', 1), '')) AS scheme, lower(nullif(regexp_extract(url, '^[a-zA-Z][+.0-9a-zA-Z-]*://([^/?#:]*)', 1), '')) AS host, regexp_matches(url, '[{{}} ]') AS broken FROM urls),
 url_cases AS (
   SELECT p.*, r.status, CASE
     WHEN regexp_matches(url, '\\$\\{{.*\\}}|\\{{\\{{.*\\}}\\}}|<%.*%>') THEN 'template' WHEN broken OR scheme IS NULL OR (scheme IN ('http', 'https') AND host IS NULL) THEN 'format' WHEN scheme NOT IN ('http', 'https') THEN 'protocol'
-    WHEN host IN ('localhost', '127.0.0.1', 'example.com') OR host LIKE '%.localhost' OR host LIKE '%.example.com' THEN 'domain'
+    WHEN host IN ('127.0.0.1', 'localhost', 'example.com') OR host LIKE '%.localhost' OR host LIKE '%.example.com' THEN 'domain'
     WHEN coalesce(greatest({_OCT(1)}, {_OCT(2)}, {_OCT(3)}, {_OCT(4)}) > 255 OR {_OCT(1)} IN (0, 10, 127) OR {_OCT(1)} >= 224 OR ({_OCT(1)} = 172 AND {_OCT(2)} BETWEEN 16 AND 31) OR ({_OCT(1)} = 192 AND {_OCT(2)} = 168) OR ({_OCT(1)} = 169 AND {_OCT(2)} = 254), false) THEN 'private'
     WHEN status IS NULL THEN 'failed' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status IN (401, 403) THEN 'auth' WHEN status = 404 AND host = 'github.com' THEN 'hub' ELSE 'bad' END AS c
   FROM url_parts p LEFT JOIN probe_results r USING (url)
@@ -407,6 +412,6 @@ RAW: dict[str, str] = {
     "path_within_root": f"""WITH v AS (SELECT p_partkey, {normal("'/project/docs/' || (['../src/', './', '../../', '../../projectExtra/', 'a/../b/', '../../project/'])[p_partkey % 6 + 1] || replace(p_name, ' ', '_')")} AS full_path FROM part) SELECT p_partkey, full_path, full_path = '/project' OR starts_with(full_path, '/project/') AS inside FROM v""",
     "markdown_escape": "SELECT path, replace(replace(substr(content, 1, 120), chr(92), chr(92) || chr(92)), '|', chr(92) || '|') AS cell FROM docs_syn",
     "report_markdown": f"""WITH {RESULTS}, cells AS (SELECT path, line, type, value, '| ' || line || ' | ' || CASE WHEN severity = 'error' THEN '❌ Error' ELSE '⚠️ Warning' END || ' | ' || replace(replace(coalesce(message, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|') || ' | ' || replace(coalesce(suggestion, '-'), '|', chr(92) || '|') || ' |' AS r FROM buckets WHERE b IN ('error', 'warning'))
-      SELECT path, '### 📄 `' || path || '`' || chr(10) || chr(10) || '| Line | Severity | Issue | Suggestion |' || chr(10) || '|------|----------|-------|------------|' || chr(10) || string_agg(r, chr(10) ORDER BY line, type, value, r) || chr(10) || chr(10) AS section FROM cells GROUP BY path""",
+      SELECT path, '### 📄 `' || path || '`' || chr(10) || chr(10) || '| Line | Severity | Issue | Suggestion |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg(r, chr(10) ORDER BY line, type, value, r) || chr(10) || chr(10) AS section FROM cells GROUP BY path""",
 }
 SQL: dict[str, str] = {name: with_corpora(sql) for name, sql in RAW.items()}

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import ANY, PKG, S, TAKEN, W
 from ..functions.text import trimmed
 
 NAMES = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml", "pom.xml")
 PAIRS = "array<struct<name:string,version:string>>"
 JSON = "engines map<string,string>, dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>"
-PROJECT = r"\[project\.dependencies\]([\s\S]*?)(?:\[|\z)"
-CARGO = r"\[dependencies\]([\s\S]*?)(?:\[|\z)"
-REQUIRE = r"require\s+\(([\s\S]*?)\)"
+PROJECT = rf"\[project\.dependencies\]({ANY})(?:\[|\z)"
+CARGO = rf"\[dependencies\]({ANY})(?:\[|\z)"
+REQUIRE = rf"require{W}\(({ANY})\)"
 
 
 def normalized_version(v: Column) -> Column:
@@ -44,21 +45,21 @@ def versions(manifests: DataFrame) -> DataFrame:
     engines = F.filter(F.array(_pair(F.lit("node"), node), _pair(F.lit("nodejs"), node), _pair(F.lit("npm"), npm)), lambda e: F.coalesce(e["version"], F.lit("")) != "")
     package = F.concat(F.transform(engines, lambda e: _pair(e["name"], normalized_version(e["version"]))), _entries(j["dependencies"]), _entries(j["devDependencies"]))
     extract = lambda p, text, k=1: F.regexp_extract(text, p, k)
-    wanted = r"^([a-zA-Z0-9\-_]+)([<>=!]+)?(.+)?\z"
+    wanted = rf"^{PKG}([<>=!]+)?(.+)?\z"
     requirements = F.transform(F.filter(_rows(c), lambda r: (r != "") & ~r.startswith("#") & r.rlike(wanted)), lambda r: _pair(F.lower(extract(wanted, r)), normalized_version(extract(wanted, r, 3))))
     listed = F.regexp_extract_all(extract(PROJECT, c), F.lit('"([^"]+)"'), F.lit(1))
     project = F.filter(F.transform(listed, lambda d: _pair(F.lower(F.get(F.split(d, "[<>=!]+"), F.lit(0))), F.coalesce(F.get(F.split(d, "[<>=!]+"), F.lit(1)), F.lit("any")))), lambda e: e["name"] != "")
-    go_version = extract(r"(?m)^go\s+(\d+\.\d+)", c)
-    go_line = r"^([^\s]+)\s+v?([^\s]+)"
+    go_version = extract(rf"(?m)^go{W}(\d+\.\d+)", c)
+    go_line = rf"^([^\s]+){W}v?([^\s]+)"
     go = F.concat(
         F.filter(F.array(_pair(F.lit("go"), go_version), _pair(F.lit("golang"), go_version)), lambda e: e["version"] != ""),
         F.transform(F.filter(_rows(extract(REQUIRE, c)), lambda r: r.rlike(go_line)), lambda r: _pair(extract(go_line, r), normalized_version(extract(go_line, r, 2)))),
     )
-    cargo_line = r'^([a-zA-Z0-9\-_]+)\s*=\s*"?([^"\n]+)"?'
+    cargo_line = rf'^{PKG}{S}={S}"?([^"\n]+)"?'
     cargo = F.transform(F.filter(F.split(extract(CARGO, c), "\n"), lambda r: r.rlike(cargo_line)), lambda r: _pair(F.lower(extract(cargo_line, r)), normalized_version(extract(cargo_line, r, 2))))
-    dep = r"<dependency>[\s\S]*?<artifactId>([^<]+)</artifactId>[\s\S]*?<version>([^<]+)</version>[\s\S]*?</dependency>"
+    dep = rf"<dependency>{ANY}<artifactId>{TAKEN}</artifactId>{ANY}<version>{TAKEN}</version>{ANY}</dependency>"
     every = lambda k: F.regexp_extract_all(c, F.lit(dep), F.lit(k))
-    java = extract(r"<java\.version>([^<]+)</java\.version>", c)
+    java = extract(rf"<java\.version>{TAKEN}</java\.version>", c)
     pom = F.concat(F.filter(F.array(_pair(F.lit("java"), java)), lambda e: e["version"] != ""), F.zip_with(every(1), every(2), lambda n, v: _pair(F.lower(n), normalized_version(v))))
     parsed = F.lit(None).cast(PAIRS)
     for name, pairs in zip(NAMES, (package, requirements, project, go, cargo, pom)):
@@ -78,11 +79,11 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
     extract = lambda p, text: F.regexp_extract(text, p, 1)
     package = F.concat(keys(j["dependencies"]), keys(j["devDependencies"]), keys(j["peerDependencies"]), keys(j["optionalDependencies"]))
-    requirements = F.transform(F.filter(_rows(c), lambda r: ~r.startswith("#")), lambda r: extract(r"^([a-zA-Z0-9\-_]+)", r))
+    requirements = F.transform(F.filter(_rows(c), lambda r: ~r.startswith("#")), lambda r: extract(rf"^{PKG}", r))
     project = F.regexp_extract_all(extract(PROJECT, c), F.lit('"([^"<>=!]+)[^"]*"?'), F.lit(1))
     go = F.transform(_rows(extract(REQUIRE, c)), lambda r: extract(r"^([^\s]+)", r))
-    cargo = F.transform(F.split(extract(CARGO, c), "\n"), lambda r: extract(r"^([a-zA-Z0-9\-_]+)\s*=", r))
-    pom = F.regexp_extract_all(c, F.lit(r"<artifactId>([^<]+)</artifactId>"), F.lit(1))
+    cargo = F.transform(F.split(extract(CARGO, c), "\n"), lambda r: extract(rf"^{PKG}{S}=", r))
+    pom = F.regexp_extract_all(c, F.lit(rf"<artifactId>{TAKEN}</artifactId>"), F.lit(1))
     parsed = F.lit(None).cast("array<string>")
     for name, names in zip(NAMES, (package, requirements, project, go, cargo, pom)):
         parsed = F.when(F.col("name") == name, names).otherwise(parsed)
