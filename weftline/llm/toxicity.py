@@ -19,6 +19,7 @@ from ._common import table, written
 MAX_LABELLED = 20_000
 MAX_FEATURES = 1024
 LETTERS = r"[^\p{L}]+"
+STEM = 5
 
 
 @dataclass
@@ -31,11 +32,17 @@ class CumulativeLink:
 
 
 def word_set(text: Column) -> Column:
-    """Distinct lower-case runs of letters; empty for null."""
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), LETTERS))
+    """Distinct lower-case runs of letters, and their first five letters marked by '^'; empty for null.
+
+    The beginnings stand for the many forms of a stem, few of which are labelled.
+    """
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), LETTERS))
+    stems = lambda ws: F.transform(F.filter(ws, lambda w: F.char_length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
+    # by way of an array of one, so that the text is split once
+    return F.transform(F.array(words), lambda ws: F.array_union(ws, stems(ws)))[0]
 
 
-def fit_thresholds(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised log loss, by Adam on the whole sample.
 
     The thresholds are a first one plus the running sum of exp(gaps), hence ordered.
