@@ -31,9 +31,9 @@ SPACE = "▁"
 TABLE_WORDS = 1 << 17
 TABLE_LENGTH = 24
 LONG = 256
-EXTRA = 150_000
+EXTRA = 80_000
 LETTER = r"[^\W\d_]"
-COUNTED = 400_000
+COUNTED = 200_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 60
@@ -269,6 +269,13 @@ class Encoder(dict):
         parts = self.words(SPACE + word)
         return self.keep(self, word, self.fold(parts[0]) if len(parts) == 1 else b"".join(map(self.part, parts)))
 
+    def free(self) -> None:
+        """Lets go of everything; what is kept refers to the encoder itself, so it would wait for a collection."""
+        self.extra.clear()
+        self.inner.clear()
+        self.clear()
+        self.merges = None
+
     def part(self, part: str) -> bytes:
         """Ids of a part as it stands in an escaped text."""
         store, key = (self, part[1:]) if part[0] == SPACE and part[1:2] != SPACE else (self.inner, part)
@@ -441,6 +448,7 @@ def encode(docs: DataFrame, *, model_path: str = MODEL, limit: int = TABLE_WORDS
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([x is None for x in got] + [False]))
                 flat = np.concatenate([x for x in got if x is not None]) if any(x is not None for x in got) else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+        encoder.free()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
