@@ -82,6 +82,27 @@ def test_toxicity_holds_out(spark):
     assert all(0 <= r.expected_severity <= 2 and r.p_severe <= r.p_toxic for r in got.values())
 
 
+def test_toxicity_of_a_rare_language(spark):
+    """Toxic words of a language with few labels count, too: each is in 8 or 9 labelled documents here."""
+    rng, rows = random.Random(3), []
+    for i in range(2400):
+        rare, toxic = i % 15 == 0, i % 10 == 0
+        t = [rng.choice("abcdefgh") + rng.choice(["ola", "uno", "dia"] if rare else ["the", "and", "of"]) for _ in range(rng.randint(8, 30))]
+        if toxic:
+            t += [f"feo{'abcdefghi'[i // 30 % 9]}"] if rare else [rng.choice(["vile", "nasty", "lousy"])]
+        rows.append((i, " ".join(t), int(toxic), rare))
+    docs = frame(spark, "doc_id long, text string", [r[:2] for r in rows] + [(2000, "aola bdia feoc"), (2001, "aola bdia"), (2002, None)])
+    model = toxicity.fit(docs, frame(spark, "doc_id long, toxic int", [(i, y) for i, _, y, _ in rows]))
+    got = {r.doc_id: r.rejected for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == bool(y) for i, _, y, _ in rows) and got[2000] and not got[2001] and not got[2002]
+
+
+def test_threshold_of_held_out_rows():
+    p, toxic = np.array([0.02, 0.04, 0.1, 0.3, 0.35, 0.9]), np.array([0, 0, 0, 1, 1, 1])
+    assert toxicity.best_threshold(p, toxic, 0.05) == (1.0, 0.3) and toxicity.best_threshold(p[[0, 5]], toxic[[0, 5]], 0.05) == (1.0, 0.5)
+    assert toxicity.best_threshold(p, toxic, 0.32)[1] > 0.32
+
+
 def test_toxicity_without_examples(spark):
     docs = frame(spark, "doc_id long, text string", [(1, "a"), (2, None)])
     for labels in ([], [(1, 0)], [(1, 1)]):

@@ -19,6 +19,13 @@ from ._common import table, written
 MAX_LABELLED = 20_000
 MAX_FEATURES = 1024
 LETTERS = r"[^\p{L}]+"
+#: A word counts from so many labelled documents on; fewer while the toxic ones are few.
+LEAST_SEEN = 3
+#: Labelled documents are held out by parts, to choose the penalty and the threshold.
+FOLDS = 3
+PENALTIES = (1e-3, 1e-4)
+#: Fewer toxic ones than this can't place a threshold: the first penalty and 0.5 are taken.
+ENOUGH = 100
 
 
 @dataclass
@@ -28,6 +35,7 @@ class CumulativeLink:
     words: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
+    reject_at: float = 0.5
 
 
 def word_set(text: Column) -> Column:
@@ -64,6 +72,30 @@ def fit_thresholds(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float =
     return p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
 
 
+def best_threshold(p: np.ndarray, toxic: np.ndarray, above: float) -> tuple[float, float]:
+    """F1 and threshold, of those greater than `above`, that tell held-out rows best; on ties the nearest to 0.5."""
+    tried = [t for t in np.arange(5, 96) / 100 if t > above] or [0.99]
+    f1 = [2 * float(toxic[p >= t].sum()) / max(1, (p >= t).sum() + toxic.sum()) for t in tried]
+    best = min(range(len(tried)), key=lambda i: (-f1[i], abs(tried[i] - 0.5)))
+    return f1[best], float(tried[best])
+
+
+def _chosen(stats: DataFrame, n1: int, n0: int, folds: list[int], max_features: int) -> list[tuple[str, float]]:
+    """Words and z values from the labelled documents of these folds."""
+    rows = stats.select("word", sum(F.col(f"a{k}") for k in folds).alias("a"), sum(F.col(f"b{k}") for k in folds).alias("b"))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
+    seen = rows.where(F.col("a") + F.col("b") >= min(LEAST_SEEN, max(2, n1 // 10)))
+    out = seen.select("word", (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where("abs(z) > 2.5").orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
+    return [(r["word"], r["z"]) for r in out]
+
+
+def _grades(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    hits = x[:, z > 4].sum(axis=1)
+    middle = np.median(hits[(y == 1) & (hits > 0)]) if ((y == 1) & (hits > 0)).any() else 0
+    return np.where(y == 0, 0, np.where(hits > middle, 2, 1))
+
+
 def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> CumulativeLink:
     """Fits the model to labels(doc_id, toxic), toxic 0 or 1.
 
@@ -71,35 +103,56 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     more than once counting by its highest label.  Words are chosen by the
     z value of their log odds between toxic and clean documents.  Toxic
     documents with more than the median number of clearly toxic words are
-    grade 2, the others grade 1.  Null doc_ids and labels are left out;
-    without both toxic and clean examples the model finds everything clean.
+    grade 2, the others grade 1.  The penalty and reject_at are those of the
+    greatest F1 on labelled documents that neither words nor weights were
+    taken from: each of FOLDS parts is judged by a fit to the others; with
+    fewer than ENOUGH toxic ones they are the first penalty and 0.5.  Null
+    doc_ids and labels are left out; without both toxic and clean examples
+    the model finds everything clean.
     """
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    words = written(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", word_set(F.col("text")).alias("words")), "toxicity")
-    n = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return CumulativeLink(thresholds=[30.0, 31.0])
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-    stats = words.select("toxic", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= min(10, max(2, n1 // 10)))
-    chosen = stats.select("word", (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where("abs(z) > 2.5").orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
-    names = [r["word"] for r in chosen]
-    if not names:
-        return CumulativeLink(thresholds=[30.0, 31.0])
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    words = written(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", fold.alias("fold"), word_set(F.col("text")).alias("words")), "toxicity")
+    n = {(r["fold"], r["toxic"]): r["n"] for r in words.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = [F.sum(F.when(F.col("fold") == k, F.col("toxic") if c == "a" else 1 - F.col("toxic")).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ab"]
+    stats = written(words.select("toxic", "fold", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(*counts).where(sum(F.col(f"{c}{k}") for k in range(FOLDS) for c in "ab") >= 2), "toxicity")
+    every = list(range(FOLDS))
+    held_out = every if sum(n.get((k, 1), 0) for k in every) >= ENOUGH else []
+    chosen: dict[int | None, list[tuple[str, float]]] = {}
+    for out in (None, *held_out):
+        folds = [k for k in every if k != out]
+        n1, n0 = sum(n.get((k, 1), 0) for k in folds), sum(n.get((k, 0), 0) for k in folds)
+        chosen[out] = _chosen(stats, n1, n0, folds, max_features) if n1 and n0 else []
+        if not chosen[None]:
+            return CumulativeLink(thresholds=[30.0, 31.0])
+    names = sorted({w for c in chosen.values() for w, _ in c})
     index = {w: i for i, w in enumerate(names)}
-    rows = words.select("toxic", F.array_intersect("words", F.array(*map(F.lit, names))).alias("hits")).collect()  # at most max_labelled rows
-    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    rows = words.select("toxic", "fold", F.array_intersect("words", F.array(*map(F.lit, names))).alias("hits")).collect()  # at most max_labelled rows
+    x = np.zeros((len(rows), len(names)), dtype=bool)
     for i, r in enumerate(rows):
-        x[i, [index[w] for w in r["hits"]]] = 1
-    y = np.array([r["toxic"] for r in rows])
-    clear = np.array([r["z"] > 4 for r in chosen])
-    hits = x[:, clear].sum(axis=1)
-    middle = np.median(hits[(y == 1) & (hits > 0)]) if ((y == 1) & (hits > 0)).any() else 0
-    grade = np.where(y == 0, 0, np.where(hits > middle, 2, 1))
-    w, theta = fit_thresholds(x, grade, 3)
+        x[i, [index[w] for w in r["hits"]]] = True
+    y, part = np.array([r["toxic"] for r in rows]), np.array([r["fold"] for r in rows])
+    held = {l2: np.zeros(len(rows)) for l2 in PENALTIES}
+    judged, above = np.zeros(len(rows), dtype=bool), {l2: 0.0 for l2 in PENALTIES}
+    for k in held_out:
+        if not chosen[k] or not (part == k).any():
+            continue
+        own = [index[w] for w, _ in chosen[k]]
+        given, rest = x[np.ix_(part != k, own)].astype(np.float32), x[np.ix_(part == k, own)]
+        grade = _grades(given, y[part != k], np.array([z for _, z in chosen[k]]))
+        judged |= part == k
+        for l2 in PENALTIES:
+            w, theta = fit_thresholds(given, grade, 3, l2=l2)
+            held[l2][part == k] = 1 / (1 + np.exp(np.clip(theta[0] - rest @ w, -30, 30)))
+            above[l2] = max(above[l2], 1 / (1 + np.exp(theta[0])))  # a text without any word that is known
+    scores = {l2: best_threshold(held[l2][judged], y[judged], above[l2]) for l2 in PENALTIES}
+    l2 = max(PENALTIES, key=lambda v: scores[v][0])  # the first, if nothing was held out
+    own = [index[w] for w, _ in chosen[None]]
+    given = x[:, own].astype(np.float32)
+    w, theta = fit_thresholds(given, _grades(given, y, np.array([z for _, z in chosen[None]])), 3, l2=l2)
+    reject_at = scores[l2][1] if (y[judged] == 1).any() else 0.5
     keep = np.abs(w) > 1e-3
-    return CumulativeLink([s for s, k in zip(names, keep) if k], [float(v) for v in w[keep]], [float(t) for t in theta])
+    return CumulativeLink([s for (s, _), k in zip(chosen[None], keep) if k], [float(v) for v in w[keep]], [float(t) for t in theta], max(reject_at, 1 / (1 + float(np.exp(theta[0]))) + 0.01))
 
 
 def severity(text: Column, model: CumulativeLink) -> Column:
@@ -114,16 +167,17 @@ def severity(text: Column, model: CumulativeLink) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda s, w: s + weights[w])
 
 
-def score(documents: DataFrame, model: CumulativeLink, *, reject_at: float = 0.5) -> DataFrame:
+def score(documents: DataFrame, model: CumulativeLink, *, reject_at: float | None = None) -> DataFrame:
     """documents with p_toxic, p_severe, expected_severity, grade and rejected.
 
     One pass over the rows, without shuffle or Python.  grade is the most
     likely one (the lower on ties); a document is rejected when p_toxic, the
-    probability of grade 1 or more, reaches reject_at.  Null and empty texts
+    probability of grade 1 or more, reaches reject_at (the model's, if not
+    given).  Null and empty texts
     have no words, repeated rows are scored alike, other columns stay; those
     named like the new ones are replaced.
     """
-    eta = "__eta"
+    eta, reject_at = "__eta", model.reject_at if reject_at is None else reject_at
     p = [1 / (1 + F.exp(F.lit(t) - F.col(eta))) for t in model.thresholds]
     out = documents.withColumn(eta, severity(F.col("text"), model))
     out = out.withColumns({"p_toxic": p[0], "p_severe": p[-1], "expected_severity": sum(p[1:], p[0])})
