@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
-toxicity drops what it rejects; near_duplicates keeps the smallest doc_id of
-each group; secrets are replaced in the texts; mixing repeats and drops
+toxicity drops what it rejects; near_duplicates keeps one row of each group,
+that of the smallest doc_id; secrets are replaced in the texts; mixing repeats and drops
 documents to meet the sources' targets; the last stage encodes the texts.
 All but the last return the columns of documents.
 """
@@ -21,10 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("not rejected").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a __key of each row's own, written so that it stays: ids may be null or repeated."""
+    return written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked ones; a null doc_id is its own group."""
-    found = ngram_join.similar(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of linked ones: that of the smallest doc_id, null last, and of equal ids the first."""
+    rows = keyed(docs)
+    linked = ngram_join.similar(rows, doc_id="__key").where("n_similar > 0").select(F.col("doc_id").alias("__key"), "component_id")
+    linked = written(linked.join(rows.select("__key", "doc_id"), "__key"), "linked")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
+    kept = linked.groupBy("component_id").agg(least.alias("__key")).select("__key")
+    return rows.join(linked.select("__key").join(kept, "__key", "left_anti"), "__key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +46,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
+    rows = keyed(docs)
+    copies = mixing.mix(rows, key="__key").where("copies > 0").select("__key", "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    # after near-duplicate removal doc_id is unique; a repeated id would take the greatest of its copies
-    copies = copies.groupBy("__id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return taken.withColumn("__time", times).select(docs.columns)
+    return rows.join(copies, "__key").withColumn("__time", times).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,6 +244,25 @@ def test_sql(spark, name):
     assert cols == sorted(got.columns) and rows(want) == rows(got)
 
 
+def test_pipeline_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(30))
+    same, other, void, lone = text(), text(), text(), text()
+    rows = [(1, same), (1, same), (4, same), (None, same), (2, other), (4, lone), (None, void), (None, void), (None, None), (None, "")]
+    docs = frame(spark, "doc_id long, text string, source string", [(i, t, "s") for i, t in rows])
+    got = Counter((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, DIR).collect())
+    assert got == Counter([(1, same), (2, other), (4, lone), (None, void), (None, None), (None, "")])
+    rows = [(None if i % 3 else i % 2, text(), "ab"[i % 2]) for i in range(400)]
+    mixed = p.mix_sources(spark, frame(spark, "doc_id long, text string, source string", rows), DIR).collect()
+    taken = Counter()
+    for r in mixed:
+        taken[r.source] += len(r.text.split())
+    want = dict(zip("ab", mixing.targets([6000, 6000])))
+    assert all(abs(taken[s] - want[s]) <= 30 for s in "ab") and max(Counter(r.text for r in mixed).values()) <= 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -127,7 +127,7 @@ def settle(p: list[float], size: list[int], want: float, rounds: int = 64) -> li
 def _fly(land: bool):
     def block(t: pa.Table) -> pa.Table:
         # the smallest documents come last: they are what stays undecided
-        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row", "ascending")])
+        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("key", "ascending")])
         p, size = t["p"].to_pylist(), t["size"].to_pylist()
         seed = f"{t['source'][0].as_py()}|{t['block'][0].as_py()}|{len(p)}"
         if any(0 < x < 1 for x in p):
@@ -142,7 +142,7 @@ def _fly(land: bool):
     return block
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, block: int = BLOCK, key: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: how often the mix takes each row.
 
     Sources are ordered by code point, null last, and weigh by their place.
@@ -151,11 +151,12 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
     few documents that land; copies is at most ceil(cap).  Null and empty
     texts have size 0 and are taken by their probability like others; null
     doc_ids and repeated rows are rows of their own; other columns are not
-    read; an empty table gives no rows.  Reruns agree: chance is seeded by
+    read; an empty table gives no rows.  key names a long column that tells
+    rows of one id apart, returned beside the others.  Reruns agree: chance is seeded by
     source and block, and rows are ordered by id and size.
     """
-    schema = "source int, doc_id long, size long, row long, p double, base long, blocks long, block long, keep boolean"
-    digest = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")), "mixing")
+    schema = "source int, doc_id long, size long, row long, key long, p double, base long, blocks long, block long, keep boolean"
+    digest = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row"), (F.col(key) if key else F.lit(None)).cast("long").alias("key")), "mixing")
     # one row a source: the catalogue of sources, not the data
     totals = digest.groupBy("name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["name"] is None, (r["name"] or "").encode()))
@@ -168,7 +169,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
         plan.append((i, r["name"], r["source_size"], t, base, rho - base if rho - base > EPS else 0.0, -(-r["n"] // block)))
     sources = spark.createDataFrame(plan, "source int, name string, source_size long, target double, base long, p double, blocks long")
     placed = digest.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, digest["name"].eqNullSafe(sources["name"]))
-    rows = placed.select("source", "doc_id", "size", "row", "p", "base", "blocks", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"), F.lit(False).alias("keep"))
+    rows = placed.select("source", "doc_id", "size", "row", "key", "p", "base", "blocks", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).alias("block"), F.lit(False).alias("keep"))
     flown = written(rows.groupBy("source", "block").applyInArrow(_fly(False), schema), "flight")
     decided = [flown.where("not keep")]
     rest = flown.where("keep")
@@ -184,7 +185,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, cap: float
         out = out.unionByName(d)
     out = out.withColumn("copies", F.col("base") + F.col("p").cast("long"))
     facts = sources.select("source", "source_size", "target")
-    return out.join(F.broadcast(facts) if len(plan) <= 10_000 else facts, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return out.join(F.broadcast(facts) if len(plan) <= 10_000 else facts, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", *([F.col("key").alias(key)] if key else []))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
