@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 
 from brute import brute_join
 from weftline.llm import fingerprint, ngram_join, secrets, toxicity
@@ -103,6 +106,52 @@ def test_threshold_of_held_out_rows():
     assert toxicity.best_threshold(p, toxic, 0.32)[1] > 0.32
 
 
+def test_toxicity_by_hand(spark):
+    """p_toxic, p_severe and expected severity recomputed from the whole text in plain Python."""
+    rows = labelled(7, 400) + [(500, None, 0), (501, "", 0), (502, "ÉTÉ été naïve-NASTY" + " wortab x1y" * 20_000, 0)]
+    docs = frame(spark, "doc_id long, text string, p_toxic string", [(i, t, "old") for i, t, _ in rows])
+    model = toxicity.fit(docs, frame(spark, "doc_id long, toxic int, quality int", [(i, y, int(i % 8 != 0)) for i, _, y in rows]))
+    assert model.weights and model.thresholds[0] < model.thresholds[1]
+
+    def at(word, k):
+        inner = xxhash.xxh64_intdigest((word[:k] if k else word).encode(), 42)
+        return xxhash.xxh64_intdigest(k.to_bytes(4, "little"), inner) % toxicity.BUCKETS
+
+    for r in toxicity.score(docs, model).collect():
+        words = {w for w in regex.split(r"[^\p{L}]+", (r.text or "").lower()) if w}
+        eta = sum(model.weights.get(at(w, k), 0.0) for w in words for k in toxicity.LENGTHS if len(w) >= k)
+        p = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
+        assert r.p_toxic == pytest.approx(p[0], abs=1e-5) and r.p_severe == pytest.approx(p[1], abs=1e-5) and r.expected_severity == pytest.approx(sum(p), abs=1e-5)
+        assert r.rejected == (r.p_toxic >= model.reject_at) and (r.text or r.doc_id in (500, 501))
+
+
+def test_toxicity_finds_beginnings(spark):
+    """Held-out words that share only their beginning with labelled ones, and copies that must not count as evidence."""
+    rng = random.Random(11)
+    syllables = ["ba", "ke", "lo", "mi", "tu", "ra", "se", "no"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    rows = []
+    for i in range(1500):
+        t = [word(rng.randint(1, 4)) for _ in range(rng.randint(20, 60))]
+        if toxic := i % 8 == 0:
+            t += ["virox" + word(2) for _ in range(3)]
+        rows.append((i, " ".join(t), int(toxic)))
+    rows += [(2000 + i, rows[0][1], 1) for i in range(80)]
+    docs = frame(spark, "doc_id long, text string", [r[:2] for r in rows])
+    model = toxicity.fit(docs, frame(spark, "doc_id long, toxic int", [(i, y) for i, _, y in rows if i % 3 or i >= 2000]))
+    got = {r.doc_id: r.rejected for r in toxicity.score(docs, model).collect()}
+    held = [(got[i], y) for i, _, y in rows if i % 3 == 0 and i < 2000]
+    assert np.mean([g for g, y in held if y]) > 0.95 and np.mean([g for g, y in held if not y]) < 0.01
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    rows = labelled(2, 300)
+    docs = frame(spark, "doc_id long, text string, grade string, rejected string, __eta int", [(i, t, "keep me", "x", 7) for i, t, _ in rows])
+    model = toxicity.fit(docs, frame(spark, "doc_id long, toxic int", [(i, y) for i, _, y in rows]))
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and {(r.grade, r.rejected, r["__eta"]) for r in kept.collect()} == {("keep me", "x", 7)} and 200 < kept.count() < 260
+
+
 def test_toxicity_without_examples(spark):
     docs = frame(spark, "doc_id long, text string", [(1, "a"), (2, None)])
     for labels in ([], [(1, 0)], [(1, 1)]):
