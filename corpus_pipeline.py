@@ -18,7 +18,7 @@ from weftline.llm._common import table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted to labels, doesn't reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not rejected").select(docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     rows = keyed(docs)
-    copies = mixing.mix(rows, key="__key").where("copies > 0").select("__key", "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    copies = mixing.mix(rows, key="__key").where("copies > 0").select("__key", F.col("copies").alias("__copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
     return rows.join(copies, "__key").withColumn("__time", times).select(docs.columns)
 
 
