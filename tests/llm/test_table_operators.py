@@ -65,6 +65,18 @@ def test_written_shards(spark, tmp_path):
     assert sorted(r.doc_id for r in back) == list(range(200)) and {r.shard for r in back} == {0, 1, 2, 3}
 
 
+def test_written_shards_follow_every_level(spark, tmp_path):
+    """Equal rows are told apart by their place alone, and are cut on disk as in the listing."""
+    same = frame(spark, "doc_id long, text string, shard string, h int", [(1, "a", "own", 5)] * 100).repartition(3)
+    same.write.parquet(str(tmp_path / "in"))
+    same = spark.read.parquet(str(tmp_path / "in"))
+    listed = Counter(r.shard for r in sharding.shard_by_bytes(same, 4).collect())
+    sharding.write_shards(same, str(tmp_path / "same"), 4)
+    back = spark.read.parquet(str(tmp_path / "same")).collect()
+    assert listed == {i: 25 for i in range(4)} and Counter(r.shard for r in back) == listed and {r.h for r in back} == {5}
+
+
+
 # nearest neighbours
 
 

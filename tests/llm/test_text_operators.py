@@ -197,6 +197,40 @@ def test_fingerprints_against_brute_force(spark):
         assert r.near_next == fingerprint.likeness(own, fingerprint.signatures(Words(), [after[1] or ""])[0])
 
 
+@pytest.mark.parametrize("ranges", [400, 4000])
+def test_fingerprints_in_many_ranges(spark, ranges):
+    """Ranges as many as a large job has, over few rows: each row still meets the next one; clashing columns stay out."""
+    rows = [(i * 7 % 1000, f"word {i} and {i // 3} more", 0) for i in range(1000)]
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, "doc_id long, text string, key int", rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    texts = {i: t for i, t, _ in rows}
+    for i, t in texts.items():
+        half, after = len(t) // 2, texts[(i - 1) % 1000]
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """Many rows of one id and many without are cut into ranges like others."""
+    rows = [(5, f"t{i % 1000}") for i in range(20_000)] + [(None, f"n{i % 7}") for i in range(5_000)] + [(i, "x y z") for i in range(6, 106)]
+    docs = frame(spark, "doc_id long, text string", rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        out = fingerprint.fingerprints(docs)
+        sizes = out.selectExpr("spark_partition_id() as p", "n_chars").groupBy("p").count().collect()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    assert len(got) == len(rows) and max(r["count"] for r in sizes) < 3 * len(rows) / 16
+    prints = {}
+    for r in got:
+        prints.setdefault((r.doc_id, r.n_chars, r.fingerprint), 0)
+    assert {r.doc_id for r in got} == {5, None, *range(6, 106)}
+
+
+
 def test_fingerprints_of_odd_tables(spark):
     one = fingerprint.fingerprints(frame(spark, DOCS, [(1, "a b c", "s")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0

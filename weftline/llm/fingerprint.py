@@ -11,10 +11,11 @@ sum min(w) / sum max(w).
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import partitions, table
@@ -91,34 +92,57 @@ def _text(s: tuple[bool, np.ndarray]) -> str:
     return s[1].astype(">u2").tobytes().hex() if s[0] else ""
 
 
+KEY = "struct<a:boolean,b:bigint,c:bigint,d:bigint>"
+#: Keys of each range that its bounds are taken from.
+SAMPLED = 32
+
+
+def _constant(values: list, schema: str) -> Column:
+    """An array that the optimizer folds into one constant, however long it is."""
+    return F.from_json(F.lit(json.dumps([dict(zip("abcd", v)) if isinstance(v, tuple) else v for v in values])), schema)
+
+
+def _below(key: Column, bounds: list[tuple]) -> Column:
+    """How many of the sorted bounds the key reaches: a binary search over a constant array."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    sorted_ = _constant(bounds, f"array<{KEY}>")
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(sorted_, p + s - 1) <= key, p + s).otherwise(p))
+
+
 def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, width: int = WIDTH) -> DataFrame:
     """Fingerprint of every text and of its edited text, and how alike they are.
 
-    One exchange: rows go to ranges of doc_id, each range with a copy of the
-    first row of the next one, and are read there in descending order, null
-    ids last, equal ids by text; the last row's next is the first.  Null texts
-    count as empty, with fingerprint ''.  A repeated row is a row of its own;
-    other columns are not read; an empty table gives no rows.
+    One exchange: rows go to ranges of (doc_id descending, null last; hash of
+    the text; row), each range with a copy of the first row of the next one,
+    and are read there in that order, so equal ids come by their texts' hash
+    and a hot id is cut like any other; the last row's next is the first.
+    Null texts count as empty, with fingerprint ''.  A text of any length
+    counts whole.  A repeated row is a row of its own; other columns are not
+    read, whatever their names; an empty table gives no rows.  docs must give
+    the same rows in the same partitions each time, as a stored table does.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    count = partitions(spark)
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.25 / count)}, reverse=True) if count > 1 else []
-    # bucket 0 holds the largest ids; null ids come last
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(above).cast("int"))
-    firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()}  # one row a bucket
-    if not firsts:
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(doc.isNull().alias("a"), F.coalesce(F.bitwise_not(doc), F.lit(0)).alias("b"), F.xxhash64(text).alias("c"), F.monotonically_increasing_id().alias("d"))
+    rows = docs.select(doc.alias("doc_id"), text.alias("text"), key.alias("key"))
+    keys, count = rows.select("key"), max(1, partitions(spark))
+    total = keys.count()
+    if not total:
         return spark.createDataFrame([], SCHEMA)
+    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 + total // (SAMPLED * count))) == 0)  # about SAMPLED rows a range, at most twice as many
+    seen = sorted(tuple(r["key"]) for r in some.collect())
+    bounds = sorted({seen[len(seen) * i // count] for i in range(1, count)} if seen else set())
+    rows = rows.withColumn("to", _below(F.col("key"), bounds))
+    firsts = {r["to"]: tuple(r["first"]) for r in rows.groupBy("to").agg(F.min("key").alias("first")).collect()}  # one row a range
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    ghost = F.lit(None).cast("int")
-    for b in used:
-        same = F.col("doc_id") == F.lit(firsts[b]) if firsts[b] is not None else F.lit(True)
-        ghost = F.when((F.col("bucket") == b) & same, before[b]).otherwise(ghost)
-    copies = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("ghost")), F.struct(ghost.alias("to"), F.lit(1).alias("ghost")))
-    sent = rows.select("doc_id", "text", F.explode(F.filter(copies, lambda c: c["to"].isNotNull())).alias("c")).select("doc_id", "text", "c.*")
-    ordered = sent.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    first = F.get(_constant([firsts.get(b) for b in range(len(bounds) + 1)], f"array<{KEY}>"), F.col("to"))
+    ghost = F.when(F.col("key") == first, F.get(_constant([before.get(b) for b in range(len(bounds) + 1)], "array<int>"), F.col("to")))
+    copies = F.array(F.struct(F.col("to"), F.lit(0).alias("ghost")), F.struct(ghost.alias("to"), F.lit(1).alias("ghost")))
+    sent = rows.select("doc_id", "text", "key", F.explode(F.filter(copies, lambda c: c["to"].isNotNull())).alias("c")).select("doc_id", "text", "key", "c.*")
+    ordered = sent.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("ghost", "key")
 
     def run(batches):
         words = Words()

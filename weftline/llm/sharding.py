@@ -22,15 +22,18 @@ TOLERANCE = 0.01
 LEVELS = ("h", "doc", "row")
 
 
+def _keys() -> tuple[Column, Column, Column]:
+    """The key's levels: hash of the text, doc_id, row."""
+    return F.coalesce(F.shiftrightunsigned(F.xxhash64("text"), 1), F.lit(0)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.monotonically_increasing_id()
+
+
 def _digest(documents: DataFrame) -> DataFrame:
     text = F.col("text")
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (utf8_bytes(text) + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        F.coalesce(F.shiftrightunsigned(F.xxhash64(text), 1), F.lit(0)).alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"),
-        F.monotonically_increasing_id().alias("row"),
+        *[key.alias(level) for level, key in zip(LEVELS, _keys())],
     )
 
 
@@ -50,10 +53,10 @@ def _scope(cut: _Cut) -> Column:
     return own & (key >= cut.lo) & (key < cut.hi)
 
 
-def _less(prefix: list[int]) -> Column:
+def _less(prefix: list[int], levels: tuple[str, ...] = LEVELS) -> Column:
     """Whether the row's key is less than the prefix, level by level."""
     out = F.lit(False)
-    for level, value in reversed(list(zip(LEVELS, prefix))):
+    for level, value in reversed(list(zip(levels, prefix))):
         out = (F.col(level) < value) | ((F.col(level) == value) & out)
     return out
 
@@ -147,15 +150,21 @@ def shard_by_bytes(documents: DataFrame, shards: int = SHARDS, *, probes: int =
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes whole rows below path, one folder per shard, found by the same splitters."""
+    """Writes whole rows below path, one folder shard=i for each shard that has rows, by the same splitters.
+
+    Rows keep all their columns; one named shard is replaced by the folder's.
+    Within a shard rows are dealt to tasks by a hash of their key, which a
+    task that runs again finds unchanged.  documents must give the same rows
+    in the same partitions each time, as a stored table does.
+    """
     spark = documents.sparkSession
-    rows = documents.withColumns({"__" + k: v for k, v in (("h", F.coalesce(F.shiftrightunsigned(F.xxhash64("text"), 1), F.lit(0))), ("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))))})
+    own = tuple(f"__{k}" for k in LEVELS)
     cuts = splitters(written(_digest(documents), "sharding"), shards)
-    shard = F.lit(0)
-    for c in cuts:
-        low = (F.col("__h") < c[0]) | ((F.col("__h") == c[0]) & (F.col("__d") < c[1] if len(c) > 1 else F.lit(False)))
-        shard = shard + F.when(low, 0).otherwise(1)
-    rows.withColumn("shard", shard).drop("__h", "__d").repartitionByRange(partitions(spark), "shard", F.rand(7)).write.partitionBy("shard").parquet(path)
+    rows = documents.withColumns({k: v for k, v in zip(own, _keys())})
+    shard = sum([F.when(_less(c, own), 0).otherwise(1) for c in cuts], F.lit(0))
+    parts = max(1, -(-partitions(spark) // shards))
+    rows = rows.withColumn("shard", shard).withColumn("__part", F.pmod(F.xxhash64(*own), F.lit(parts)))
+    rows.repartition(shards * parts, "shard", "__part").drop(*own, "__part").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
