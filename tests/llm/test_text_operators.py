@@ -354,13 +354,13 @@ def test_lattice_folds_are_the_plain_ones(spark):
     model = codec.load_model()
     words = list({"▁" + "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 12))) for _ in range(60)} | {"▁", "▁▁▁", "▁字x", "▁é!"})
     table = frame(spark, "word string", [(w,) for w in words])
-    encoder = codec.Encoder(model, {})
+    encoder = codec.Encoder(model)
     assert {r.word: r.ids for r in codec.encode_words(table, model).collect()} == {w: np.frombuffer(encoder.fold(w), np.int32).tolist() for w in words}
     pieces = ["<unk>", "<0x00>"] + list("▁abc") + ["ab", "bc", "▁a", "abc", "cab"]
     scores = [0.0, 0.0] + [-rng.uniform(1, 9) for _ in pieces[2:]]
     unigram = codec.Model(pieces, scores, [2, 6] + [1] * (len(pieces) - 2), codec.UNIGRAM, True)
     words = list({"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(40)})
-    encoder = codec.Encoder(unigram, {})
+    encoder = codec.Encoder(unigram)
     got = {r.word: r.ids for r in codec.encode_words(frame(spark, "word string", [(w,) for w in words]), unigram).collect()}
     assert got == {w: np.frombuffer(encoder.fold(w), np.int32).tolist() for w in words}
     assert codec.best_path("▁abc", encoder.values, 3) in (["▁", "abc"], ["▁a", "bc"], ["▁", "ab", "c"], ["▁a", "b", "c"], ["▁", "a", "bc"], ["▁", "a", "b", "c"])
@@ -368,7 +368,7 @@ def test_lattice_folds_are_the_plain_ones(spark):
 
 def test_long_merges_are_the_short_ones():
     model = codec.load_model()
-    rank = codec.Encoder(model, {}).values
+    rank = codec.Encoder(model).values
     rng = random.Random(8)
     for _ in range(50):
         word = "".join(rng.choice("etaoin sh▁") for _ in range(rng.randint(1, 120)))

@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The corpus's frequent words are exploded into their substrings of bounded
+Every different word of the corpus is exploded into its substrings of bounded
 length, which meet the piece table in an equi-join; the edges are grouped by
 word and folded by a higher-order aggregate: Viterbi for unigram models, the
 merges of least rank for BPE models, whose scores are ranks and not
 probabilities, so that a best path would not be the model's segmentation.
-The words' ids are a table of bounded size that encodes the documents; a word
-beyond it goes through the same fold where it stands.
+The cut words go back, once each, to the partitions of documents that hold
+them, where the pieces' ids are put together.
 """
 
 from __future__ import annotations
@@ -15,25 +15,29 @@ import heapq
 import re
 import struct
 from array import array
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pa_fs
+from pyarrow import parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import shared_path, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words that the table of frequent words holds at most, and their greatest length; both only change the speed.
-TABLE_WORDS = 1 << 17
-TABLE_LENGTH = 24
+#: Greatest length of a word in the lattice, as the fold keeps a word's cuts in the bits of one number.
+#: Longer words (no blanks or signs in so many characters) go through the same merges where they stand.
+LENGTH = 60
 LONG = 256
-EXTRA = 80_000
+EXTRA = 50_000
+JOINT = "\x01"
 LETTER = r"[^\W\d_]"
-COUNTED = 200_000
+#: Different words that a task holds before it hands them on.
+HELD = 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 60
@@ -135,7 +139,7 @@ def word_pattern(model: Model) -> re.Pattern:
     return re.compile(f"{SPACE}*{sign}*{word}+|{SPACE}*{sign}+|{SPACE}+" + ("|\n" if cut else ""))
 
 
-# The fold in Python, for words beyond the table
+# The fold in Python, for words that no table has
 
 
 def merge_word(word: str, rank: dict[str, float]) -> list[str]:
@@ -202,41 +206,6 @@ def best_path(word: str, score: dict[str, float], longest: int) -> list[str]:
     return out[::-1]
 
 
-class Merges:
-    """Merges over numbers: a piece's number is its place by rank, so the least merged number is the next merge."""
-
-    def __init__(self, model: Model):
-        ranked = sorted((-s, p, i) for p, i, s in model.usable())
-        self.usable = len({r for r, _, _ in ranked}) == len(ranked) < 1 << 20
-        number = {p: k for k, (_, p, _) in enumerate(ranked)}
-        self.ids = [struct.pack("i", i) for _, _, i in ranked]
-        self.chars = {p: k for p, k in number.items() if len(p) == 1}
-        self.pairs = {number[p[:c]] << 20 | number[p[c:]]: k for p, k in number.items() for c in range(1, len(p)) if p[:c] in number and p[c:] in number}
-        # a piece with a character that is no piece itself can't be merged from numbers
-        self.usable = self.usable and all(c in self.chars for p in number for c in p)
-
-    def fold(self, word: str) -> bytes | None:
-        """Packed ids, or None where a character is no piece."""
-        chars, get = self.chars, self.pairs.get
-        try:
-            parts = [chars[c] for c in word]
-        except KeyError:
-            return None
-        merged = [get(a << 20 | b, NEVER) for a, b in zip(parts, parts[1:])]
-        while merged:
-            r = min(merged)
-            if r == NEVER:
-                break
-            i = merged.index(r)
-            parts[i] = r
-            del parts[i + 1], merged[i]
-            if i:
-                merged[i - 1] = get(parts[i - 1] << 20 | r, NEVER)
-            if i < len(merged):
-                merged[i] = get(r << 20 | parts[i + 1], NEVER)
-        return b"".join([self.ids[k] for k in parts])
-
-
 class Encoder(dict):
     """word -> ids of the word after a space, as packed 32-bit integers; `inner` has parts that follow no space.
 
@@ -245,16 +214,34 @@ class Encoder(dict):
     way is kept until there is too much of it.
     """
 
-    def __init__(self, model: Model, known: dict[str, bytes]):
-        super().__init__((w[1:], ids) for w, ids in known.items() if w[:1] == SPACE)
-        self.inner = {w: ids for w, ids in known.items() if w[:1] != SPACE}
+    def __init__(self, model: Model):
+        super().__init__()
+        self.inner = {}
         self.ids = {p: i for p, i, _ in model.usable()}
+        self.packed_ids = {p: struct.pack("i", i) for p, i in self.ids.items()}
         self.values = {p: (-s if model.kind == BPE else s) for p, _, s in model.usable()}
         self.bytes, self.words = model.byte_ids(), word_pattern(model).findall
         self.kind, self.longest, self.extra = model.kind, max(map(len, self.values), default=1), []
-        self.merges = Merges(model) if model.kind == BPE else None
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.values)
 
+    def packed(self, parts: list[str]) -> bytes:
+        """Ids of pieces; a character that is no piece counts as its bytes."""
+        try:
+            return b"".join(map(self.packed_ids.__getitem__, parts))
+        except KeyError:
+            return b"".join(self.packed_ids.get(p) or array("i", [self.bytes[b] for b in p.encode("utf-8")]).tobytes() for p in parts)
+
+    def learn(self, cut: list[str]) -> None:
+        """Takes in words cut by the lattice."""
+        packed, inner = self.packed, self.inner
+        for c in cut:
+            parts = c.split(JOINT)
+            word = "".join(parts)
+            if word[0] == SPACE:
+                self[word[1:]] = packed(parts)
+            else:
+                inner[word] = packed(parts)
+
     def keep(self, store: dict, word: str, packed: bytes) -> bytes:
         if len(self.extra) >= EXTRA:
             for d, w in self.extra:
@@ -274,25 +261,15 @@ class Encoder(dict):
         self.extra.clear()
         self.inner.clear()
         self.clear()
-        self.merges = None
 
     def part(self, part: str) -> bytes:
         """Ids of a part as it stands in an escaped text."""
-        store, key = (self, part[1:]) if part[0] == SPACE and part[1:2] != SPACE else (self.inner, part)
+        store, key = (self, part[1:]) if part[0] == SPACE else (self.inner, part)
         packed = store.get(key)
         return self.keep(store, key, self.fold(part)) if packed is None else packed
 
     def fold(self, part: str) -> bytes:
-        if self.merges and self.merges.usable and len(part) <= LONG and (packed := self.merges.fold(part)) is not None:
-            return packed
-        out = array("i")
-        for p in merge_word(part, self.values) if self.kind == BPE else best_path(part, self.values, self.longest):
-            i = self.ids.get(p)
-            if i is None:
-                out.extend([self.bytes[b] for b in p.encode("utf-8")])
-            else:
-                out.append(i)
-        return out.tobytes()
+        return self.packed(merge_word(part, self.values) if self.kind == BPE else best_path(part, self.values, self.longest))
 
     def encode(self, text: str, dummy_prefix: bool) -> np.ndarray:
         if self.cuts and dummy_prefix and plain(text):
@@ -323,121 +300,194 @@ def decode_ids(ids, parts: list[bytes], dummy_prefix: bool) -> str:
 # The lattice
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """word, edges: array of (value, start, length, id) for each piece found in the word.
+def ranks(model: Model) -> dict[str, int]:
+    """Place of each piece by falling score; equal scores have equal places."""
+    order = {s: k for k, s in enumerate(sorted({-s for _, _, s in model.usable()}))}
+    return {p: order[-s] for p, _, s in model.usable()}
+
+
+def irregular(model: Model) -> list[str]:
+    """Pieces that one pass over their merges by rank doesn't put together.
+
+    Without such a piece among its edges, a word's merges come by growing
+    rank: a piece that becomes possible only after a merge of greater rank
+    would, within its own bounds, have been merged before.
+    """
+    rank = ranks(model)
 
-    value is what the fold minimises first: the merge rank for BPE, minus the
-    score for unigram.  The piece table is as large as the model file, so it
-    is broadcast; the grouping follows the words' own partitioning.
+    def whole(word: str) -> bool:
+        n = len(word)
+        cuts = set(range(n + 1))
+        for _, i, j in sorted((rank[word[i:j]], i, j) for i in range(n) for j in range(i + 2, n + 1) if word[i:j] in rank):
+            inner = [k for k in range(i + 1, j) if k in cuts]
+            if i in cuts and j in cuts and len(inner) == 1:
+                cuts.discard(inner[0])
+        return len(cuts) == 2
+
+    return [p for p in rank if len(p) > 1 and not whole(p)]
+
+
+def lattice(words: DataFrame, model: Model) -> DataFrame:
+    """word, edges and the other columns of the table, for its distinct words: an edge for each piece found in the word.
+
+    For BPE an edge is the number rank << 12 | start << 6 | length of a piece
+    of two characters or more; for unigram a struct (value, start, length)
+    with minus the score.  The piece table is as large as the model file, so
+    it is broadcast; the keys are hashes, as joins on numbers are several
+    times faster, and what meets is compared.  An empty substring stands for the word itself: it
+    carries the other columns and keeps words without edges.  Grouping needs
+    no exchange where the table is already partitioned by word.
     """
-    spark = words.sparkSession
-    usable = [(p, i, float(-s)) for p, i, s in model.usable()]
-    longest = max(len(p) for p, _, _ in usable)
-    pieces = F.broadcast(spark.createDataFrame(usable, "piece string, id int, value double"))
-    spot = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
-    spot = spot.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("word") - F.col("start")))).alias("length"))
-    edges = spot.withColumn("piece", F.expr("substring(word, start + 1, length)")).join(pieces, "piece")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("value", "start", "length", "id")).alias("edges"))
-    return words.select("word").join(grouped, "word", "left").select("word", F.coalesce("edges", F.array().cast("array<struct<value:double,start:int,length:int,id:int>>")).alias("edges"))
+    spark, bpe = words.sparkSession, model.kind == BPE
+    rank = ranks(model)
+    usable = [(p, rank[p], float(-s)) for p, _, s in model.usable()] + [("", -1, 0.0)]
+    longest, least = max(len(p) for p, _, _ in usable), 2 if bpe else 1
+    pieces = F.broadcast(spark.createDataFrame(usable, "piece string, rank long, value double").withColumn("key", F.xxhash64("piece")))
+    others = [c for c in words.columns if c != "word"]
+    spot = words.withColumn("start", F.explode(F.sequence(F.lit(-1), F.char_length("word") - least)))
+    lengths = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(least), F.least(F.lit(longest), F.char_length("word") - F.col("start"))))
+    spot = spot.select("word", "start", *[F.when(F.col("start") < 0, F.col(c)).alias(c) for c in others], F.explode(lengths).alias("length"))
+    part = F.expr("substring(word, start + 1, length)")
+    found = spot.withColumn("key", F.xxhash64(part)).join(pieces, "key").where((part <= F.col("piece")) & (part >= F.col("piece")))
+    edge = F.col("rank") * 4096 + F.col("start") * 64 + F.col("length") if bpe else F.struct("value", "start", "length")
+    return found.groupBy("word").agg(F.collect_list(F.when(F.col("start") >= 0, edge)).alias("edges"), *[F.max(c).alias(c) for c in others])
+
+
+#: SQL: cuts of a word as bits, folded from all of them: an edge of the next rank joins its two parts if it has just two.
+_ENDS = "(shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast((shiftright(e, 6) & 63) + (e & 63) as int)))"
+_SPAN = "shiftleft(shiftleft(1L, cast(e & 63 as int) + 1) - 1L, cast(shiftright(e, 6) & 63 as int))"
+_ONE_PASS = f"aggregate(sort_array(edges), shiftleft(1L, n + 1) - 1L, (b, e) -> if((b & {_ENDS}) = {_ENDS} and bit_count(b & {_SPAN}) = 3, b & ({_ENDS} | ~{_SPAN}), b))"
+_ONE_PASS_STARTS = f"transform(array({_ONE_PASS}), b -> filter(sequence(0, n - 1), i -> getbit(b, i) = 1))[0]"
 
 
 def _merged_starts() -> str:
-    """SQL: starts of the parts of a word, folded from its characters by the merges of least rank."""
+    """SQL: starts of the parts of a word, folded from its characters by the merges of least rank, searched anew each time."""
     best = (
-        "array_min(filter(edges, e -> array_contains(b, e.start) and (e.start + e.length = n or array_contains(b, e.start + e.length))"
+        "array_min(filter(spans, e -> array_contains(b, e.start) and (e.start + e.length = n or array_contains(b, e.start + e.length))"
         " and size(filter(b, x -> x >= e.start and x < e.start + e.length)) = 2))"
     )
     step = f"transform(array({best}), e -> if(e is null, b, filter(b, x -> x <= e.start or x >= e.start + e.length)))[0]"
-    return f"aggregate(sequence(1, n), sequence(0, n - 1), (b, k) -> {step})"
+    spans = "transform(edges, e -> named_struct('value', shiftright(e, 12), 'start', cast(shiftright(e, 6) & 63 as int), 'length', cast(e & 63 as int)))"
+    return f"transform(array({spans}), spans -> aggregate(sequence(1, n), sequence(0, n - 1), (b, k) -> {step}))[0]"
 
 
 def _path_starts(low: float) -> str:
     """SQL: starts of the parts on the path of least total value, by a Viterbi fold and a walk back."""
-    ending = f"concat(filter(edges, e -> e.start + e.length = p), array(named_struct('value', {low}D, 'start', p - 1, 'length', 1, 'id', -1)))"
+    ending = f"concat(filter(edges, e -> e.start + e.length = p), array(named_struct('value', {low}D, 'start', p - 1, 'length', 1)))"
     forward = f"aggregate(sequence(1, n), array(named_struct('cost', 0D, 'start', 0)), (s, p) -> concat(s, array(array_min(transform({ending}, e -> named_struct('cost', s[e.start].cost + e.value, 'start', e.start))))))"
     return f"transform(array({forward}), s -> aggregate(sequence(1, n), array(n), (b, k) -> if(b[0] = 0, b, concat(array(s[b[0]].start), b)), b -> filter(b, x -> x < n)))[0]"
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """word, ids for the distinct non-empty words of the table."""
-    first = min(model.byte_ids())
-    low = 10 - min((s for _, _, s in model.usable()), default=0.0)
-    starts = _merged_starts() if model.kind == BPE else _path_starts(low)
+def cut_words(words: DataFrame, model: Model) -> DataFrame:
+    """word, parts (array of its pieces and single characters), other columns, for distinct words of 1 to LENGTH characters."""
+    if model.kind == BPE:
+        odd = irregular(model)
+        holds_odd = " or ".join(f"contains(word, '{p}')" for p in odd if "'" not in p and "\\" not in p) if len(odd) < 100 and not any("'" in p or "\\" in p for p in odd) else "true"
+        starts = f"if({holds_odd}, {_merged_starts()}, {_ONE_PASS_STARTS})" if odd else _ONE_PASS_STARTS
+    else:
+        starts = _path_starts(10 - min((s for _, _, s in model.usable()), default=0.0))
     folded = lattice(words, model).withColumn("n", F.char_length("word")).withColumn("starts", F.expr(starts))
-    part = "filter(edges, e -> e.start = s and e.start + e.length = coalesce(starts[i + 1], n))"
-    spare = f"transform(sequence(1, octet_length(substring(word, s + 1, 1))), k -> cast(conv(substring(hex(encode(substring(word, s + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int) + {first})"
-    ids = f"flatten(transform(starts, (s, i) -> transform(array({part}), p -> if(size(p) > 0, array(p[0].id), {spare}))[0]))"
-    return folded.select("word", F.expr(ids.replace("starts[i + 1]", "get(starts, i + 1)")).alias("ids"))
+    parts = "transform(starts, (s, i) -> substring(word, s + 1, coalesce(get(starts, i + 1), n) - s))"
+    return folded.withColumn("parts", F.expr(parts)).drop("edges", "n", "starts")
 
 
-def frequent_words(docs: DataFrame, model: Model, *, limit: int = TABLE_WORDS, length: int = TABLE_LENGTH) -> DataFrame:
-    """At most `limit` words, all those counted more often than some number, over all documents.
-
-    Each task counts its own texts, and hands on what it counted whenever
-    COUNTED different words are held; the sums are an ordinary aggregation.
-    """
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """word, ids for the distinct words, of 1 to LENGTH characters each, of the table."""
 
     def run(batches):
-        words, counts, rest = word_pattern(model).findall, Counter(), Counter()
+        encoder = Encoder(model)
+        for batch in batches:
+            ids = [np.frombuffer(encoder.packed(parts), np.int32) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-        def counted():
-            for w, n in counts.items():  # each different word is cut once
-                for p in words(SPACE + w):
-                    rest[p] += n
-            kept = [(w, n) for w, n in rest.items() if len(w) <= length]
-            counts.clear()
-            rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+    return cut_words(words.select("word"), model).select("word", "parts").mapInArrow(run, "word string, ids array<int>")
+
+
+def words_of_partitions(docs: DataFrame, model: Model) -> DataFrame:
+    """word, pid: the different words of every partition of docs(text), a partition's words handed on in portions."""
+
+    def run(batches):
+        pid, findall, plain_words, words = TaskContext.get().partitionId(), word_pattern(model).findall, set(), set()
+
+        def portion():
+            for w in plain_words:  # each different one is cut once; one of letters alone is a word
+                if w.isalpha():
+                    words.add(SPACE + w)
+                else:
+                    words.update(findall(SPACE + w))
+            kept = [w for w in words if len(w) <= LENGTH and JOINT not in w]
+            plain_words.clear()
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(np.full(len(kept), pid, np.int32))], names=["word", "pid"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 for text in batch.column(0).slice(i, 64).to_pylist():
                     if model.dummy_prefix and plain(text):
-                        counts.update(text.split(" "))
+                        plain_words.update(text.split(" "))
                     else:
-                        rest.update(words(escaped(text, model.dummy_prefix)))
-                if len(counts) + len(rest) > COUNTED:
-                    yield counted()
-        yield counted()
-
-    own = docs.where("text is not null and text <> ''").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    counts = written(own.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-    most = 100_000
-    steps = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # at most `most` rows
-    least, total = most + 1, 0
-    for r in steps:
-        total += r["words"]
-        if total > limit:
-            break
-        least = r["n"]
-    return counts.where((F.col("n") >= least) & ~F.col("word").contains("\0")).select("word")
+                        words.update(findall(escaped(text, model.dummy_prefix)))
+                if len(plain_words) + len(words) > HELD:
+                    yield portion()
+        yield portion()
+
+    return docs.where("text is not null and text <> ''").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, pid int")
 
 
-def encode(docs: DataFrame, *, model_path: str = MODEL, limit: int = TABLE_WORDS) -> DataFrame:
+def cut_table(docs: DataFrame, model: Model) -> str:
+    """Writes the cut words of docs' partitions to the shared folder, and returns the place.
+
+    One exchange brings the partitions of each word together, and one brings
+    the cut word back to them: folder pid=i holds those of partition i, and
+    pid=-1 those that more than half of the partitions hold.  Those are fewer
+    than twice the different words of an average partition, however many
+    partitions there are.  A word's list of partitions is as long as their
+    number at most.
+    """
+    rows = docs.select("text")
+    count = rows.rdd.getNumPartitions()
+    held = words_of_partitions(rows, model).groupBy("word").agg(F.collect_set("pid").alias("pids"))
+    cut = cut_words(held, model)
+    to = F.when(F.size("pids") * 2 > count, F.array(F.lit(-1))).otherwise(F.col("pids"))
+    sent = cut.select(F.explode(to).alias("pid"), F.array_join("parts", JOINT).alias("cut"))
+    path = shared_path(docs.sparkSession, "pieces")
+    sent.repartition("pid").write.partitionBy("pid").parquet(path)
+    return path
+
+
+def read_cut(path: str, pid: int):
+    """The cut words of one folder, as lists of bounded length, read wherever the task runs."""
+    files, root = pa_fs.FileSystem.from_uri(f"{path}/pid={pid}") if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), f"{path}/pid={pid}")
+    found = files.get_file_info(pa_fs.FileSelector(root, allow_not_found=True))
+    for f in sorted(i.path for i in found if i.path.endswith(".parquet")):
+        with files.open_input_file(f) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1 << 14, columns=["cut"]):
+                yield batch.column(0).to_pylist()
+
+
+def encode(docs: DataFrame, *, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip for every row.
 
-    The whole text is encoded; round_trip tells whether decoding gives it
-    back, which fails only for texts that hold the escape character itself.
-    Null texts have null ids and round_trip, and 0 pieces; empty ones no ids.
-    Null doc_ids and repeated rows are encoded like others; other columns are
-    not read; an empty table gives no rows.
+    The whole text is encoded, of any length; round_trip tells whether
+    decoding gives it back, which fails only for texts that hold the escape
+    character itself.  Null texts have null ids and round_trip, and 0 pieces;
+    empty ones no ids.  Null doc_ids and repeated rows are encoded like
+    others; ties between merges go to the leftmost; other columns are not
+    read, whatever their names; an empty table gives no rows.  docs is read
+    twice and should give the same partitions each time, as a stored table
+    does: a word that isn't in its partition's table goes through the same
+    fold where it stands.
     """
-    spark: SparkSession = docs.sparkSession
     model = load_model(model_path)
-    words = frequent_words(docs, model, limit=limit)
-    found = encode_words(words.repartition(4 * max(1, spark.sparkContext.defaultParallelism)), model).toArrow()
-    ids = found["ids"].combine_chunks()
-    # at most `limit` words, packed: workers that wait for other work hold little memory
-    packed = ("\0".join(found["word"].to_pylist()), np.asarray(ids.flatten(), dtype=np.int32).tobytes(), np.asarray(ids.value_lengths(), dtype=np.int32).tobytes())
-    shared = spark.sparkContext.broadcast((vars(model), packed))
+    path = cut_table(docs, model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        fields, (words, ids, lengths) = shared.value
-        model = Model(**fields)
-        ends = 4 * np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)
-        known = {w: ids[b - 4 * n : b] for w, b, n in zip(words.split("\0"), ends.tolist(), np.frombuffer(lengths, np.int32).tolist())}
-        encoder, parts = Encoder(model, known), piece_bytes(model)
-        del known
+        model, pid = Model(**shared.value), TaskContext.get().partitionId()
+        encoder, parts = Encoder(model), piece_bytes(model)
+        for place in (-1, pid):
+            for cut in read_cut(path, place):
+                encoder.learn(cut)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

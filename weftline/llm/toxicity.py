@@ -182,10 +182,14 @@ def sample(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_L
     found = found.select(F.md5("text").alias("key"), "grade", buckets(word_set(F.col("text"))).alias("at")).groupBy("key").agg(F.max("grade").alias("grade"), F.any_value("at").alias("at"))
     fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")
     got = written(found.select("grade", fold.alias("fold"), "at"), "toxicity").toArrow()  # at most max_labelled rows
-    at = got["at"].combine_chunks()
-    sizes = np.asarray(at.value_lengths(), dtype=np.int64)
-    pair, value = np.unique(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + np.asarray(at.flatten(), dtype=np.int64), return_counts=True)
-    rows = Rows((pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), value.astype(np.float64), len(sizes))
+    parts = []
+    for i in range(0, got.num_rows, 1000):  # repeats are counted by parts, so that little is held at once
+        at = got["at"].slice(i, 1000).combine_chunks()
+        sizes = np.asarray(at.value_lengths(), dtype=np.int64)
+        pair, value = np.unique(np.repeat(np.arange(i, i + len(sizes)), sizes) * BUCKETS + np.asarray(at.flatten(), dtype=np.int64), return_counts=True)
+        parts.append(((pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), value.astype(np.float32)))
+    doc, where, value = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    rows = Rows(doc, where, value, got.num_rows)
     return rows, np.asarray(got["grade"], dtype=np.int64), np.asarray(got["fold"], dtype=np.int64)
 
 
