@@ -451,7 +451,8 @@ def cut_table(docs: DataFrame, model: Model) -> str:
     to = F.when(F.size("pids") * 2 > count, F.array(F.lit(-1))).otherwise(F.col("pids"))
     sent = cut.select(F.explode(to).alias("pid"), F.array_join("parts", JOINT).alias("cut"))
     path = shared_path(docs.sparkSession, "pieces")
-    sent.repartition("pid").write.partitionBy("pid").parquet(path)
+    part = F.when(F.col("pid") < 0, F.pmod(F.xxhash64("cut"), F.lit(16))).otherwise(0)  # the shared ones are many for one task
+    sent.repartition("pid", part).write.partitionBy("pid").parquet(path)
     return path
 
 
