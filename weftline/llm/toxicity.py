@@ -29,6 +29,7 @@ BUCKETS = 1 << 18
 LENGTHS = (0, 4, 5, 6, 7)
 #: Labelled documents are held out by parts, to choose the penalty and the threshold.
 FOLDS = 3
+N_GRADES = 3
 PENALTIES = (0.006, 0.003)
 STEPS = 60
 #: Fewer toxic ones than this can't place a threshold: the first penalty and 0.5 are taken.
@@ -77,7 +78,7 @@ class Rows:
     n: int
 
     def part(self, chosen: np.ndarray) -> Rows:
-        number = np.cumsum(chosen) - 1
+        number = (np.cumsum(chosen) - 1).astype(np.int32)
         keep = chosen[self.doc]
         return Rows(number[self.doc[keep]], self.at[keep], self.value[keep], int(chosen.sum()))
 
@@ -101,6 +102,18 @@ def slopes(eta: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[np.nd
     return (up - down) / n, by_theta
 
 
+def start(grade: np.ndarray, n_grades: int) -> np.ndarray:
+    """Thresholds of the grades' shares, without any features."""
+    share = np.array([np.clip((grade <= j).mean(), 1e-4, 1 - 1e-4) for j in range(n_grades - 1)])
+    return np.maximum.accumulate(np.log(share / (1 - share)) + 1e-2 * np.arange(n_grades - 1))
+
+
+def feature_scale(total: np.ndarray, square: np.ndarray, n: int) -> np.ndarray:
+    """One over the root of each feature's standard deviation, from its sums over n rows; 0 where it never occurs."""
+    spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0))
+    return np.where(square > 0, np.maximum(spread, 1 / np.sqrt(n)) ** -0.5, 0)
+
+
 def fit_sparse(rows: Rows, grade: np.ndarray, n_grades: int, l1: float, *, d: int = BUCKETS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least log loss + l1 * sum |w_j| * s_j, by accelerated proximal gradient steps.
 
@@ -110,11 +123,8 @@ def fit_sparse(rows: Rows, grade: np.ndarray, n_grades: int, l1: float, *, d: in
     from the start, as the penalty would set them there.  What is left is
     fitted again with a tenth of the penalty.
     """
-    k = n_grades - 1
-    share = np.array([np.clip((grade <= j).mean(), 1e-4, 1 - 1e-4) for j in range(k)])
-    theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-2 * np.arange(k))
-    mean, square = np.bincount(rows.at, rows.value, d) / rows.n, np.bincount(rows.at, rows.value**2, d) / rows.n
-    scale = np.where(square > 0, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1 / np.sqrt(rows.n)) ** -0.5, 0)
+    theta = start(grade, n_grades)
+    scale = feature_scale(np.bincount(rows.at, rows.value, d), np.bincount(rows.at, rows.value**2, d), rows.n)
     first = rows.transposed(slopes(np.zeros(rows.n), theta, grade)[0], d) * scale
     active = np.flatnonzero(np.abs(first) > l1 / 2)
     w, theta = _descend(rows, grade, scale, active, theta, np.zeros(len(active)), l1, steps)
@@ -130,7 +140,7 @@ def _descend(rows: Rows, grade: np.ndarray, scale: np.ndarray, active: np.ndarra
     if not len(active):
         return w, theta
     m, first = len(active), np.arange(len(theta)) == 0
-    place = np.full(len(scale), -1)
+    place = np.full(len(scale), -1, dtype=np.int32)
     place[active] = np.arange(m)
     keep = place[rows.at] >= 0
     x = Rows(rows.doc[keep], place[rows.at[keep]], (rows.value * scale[rows.at])[keep], rows.n)
@@ -182,15 +192,26 @@ def sample(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_L
     found = found.select(F.md5("text").alias("key"), "grade", buckets(word_set(F.col("text"))).alias("at")).groupBy("key").agg(F.max("grade").alias("grade"), F.any_value("at").alias("at"))
     fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")
     got = written(found.select("grade", fold.alias("fold"), "at"), "toxicity").toArrow()  # at most max_labelled rows
-    parts = []
-    for i in range(0, got.num_rows, 1000):  # repeats are counted by parts, so that little is held at once
-        at = got["at"].slice(i, 1000).combine_chunks()
-        sizes = np.asarray(at.value_lengths(), dtype=np.int64)
-        pair, value = np.unique(np.repeat(np.arange(i, i + len(sizes)), sizes) * BUCKETS + np.asarray(at.flatten(), dtype=np.int64), return_counts=True)
-        parts.append(((pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), value.astype(np.float32)))
-    doc, where, value = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
-    rows = Rows(doc, where, value, got.num_rows)
-    return rows, np.asarray(got["grade"], dtype=np.int64), np.asarray(got["fold"], dtype=np.int64)
+    grade = np.asarray(got["grade"], dtype=np.int64)
+
+    def portions():
+        for i in range(0, got.num_rows, 500):  # repeats are counted by portions, so that little is held at once
+            at = got["at"].slice(i, 500).combine_chunks()
+            sizes = np.asarray(at.value_lengths(), dtype=np.int64)
+            pair, value = np.unique(np.repeat(np.arange(i, i + len(sizes)), sizes) * BUCKETS + np.asarray(at.flatten(), dtype=np.int64), return_counts=True)
+            yield (pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), value.astype(np.float32)
+
+    # what a fit to all rows leaves at zero from the start needn't be held for the fits to parts of them, either
+    by_eta = slopes(np.zeros(len(grade)), start(grade, N_GRADES), grade)[0] if len(grade) else np.zeros(0)
+    total, square, first = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for doc, at, value in portions():
+        total += np.bincount(at, value, BUCKETS)
+        square += np.bincount(at, value * value, BUCKETS)
+        first += np.bincount(at, by_eta[doc] * value, BUCKETS)
+    held = np.abs(first) * feature_scale(total, square, max(1, len(grade))) > min(PENALTIES) / 4
+    parts = [(doc[k], at[k], value[k]) for doc, at, value in portions() for k in [held[at]]]
+    doc, at, value = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    return Rows(doc, at, value, got.num_rows), grade, np.asarray(got["fold"], dtype=np.int64)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> CumulativeLink:
@@ -209,19 +230,19 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     toxic = (grade > 0).astype(int)
     if not 0 < toxic.sum() < len(toxic):
         return CumulativeLink(thresholds=[30.0, 31.0])
-    n_grades, l1, reject_at = 3, PENALTIES[0], 0.5
+    l1, reject_at = PENALTIES[0], 0.5
     if toxic.sum() >= ENOUGH:
         scores = {}
         for tried in PENALTIES:
             held, above = np.zeros(rows.n), 0.0
             for k in range(FOLDS):
-                w, theta = fit_sparse(rows.part(fold != k), grade[fold != k], n_grades, tried)
+                w, theta = fit_sparse(rows.part(fold != k), grade[fold != k], N_GRADES, tried)
                 held[fold == k] = 1 / (1 + np.exp(np.clip(theta[0] - rows.part(fold == k).times(w), -30, 30)))
                 above = max(above, 1 / (1 + np.exp(theta[0])))  # a text without any word that is known
             scores[tried] = best_threshold(held, toxic, above)
         l1 = max(PENALTIES, key=lambda v: scores[v][0])
         reject_at = scores[l1][1]
-    w, theta = fit_sparse(rows, grade, n_grades, l1)
+    w, theta = fit_sparse(rows, grade, N_GRADES, l1)
     return CumulativeLink({int(i): float(w[i]) for i in np.flatnonzero(w)}, [float(t) for t in theta], max(reject_at, 1 / (1 + float(np.exp(theta[0]))) + 0.01))
 
 
