@@ -33,11 +33,11 @@ SPACE = "▁"
 #: Longer words (no blanks or signs in so many characters) go through the same merges where they stand.
 LENGTH = 60
 LONG = 256
-EXTRA = 50_000
+EXTRA = 20_000
 JOINT = "\x01"
 LETTER = r"[^\W\d_]"
 #: Different words that a task holds before it hands them on.
-HELD = 400_000
+HELD = 200_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 60
