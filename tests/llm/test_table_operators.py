@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -216,6 +217,23 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows)
 
 
+def test_text_in_the_body_itself(spark):
+    """Loose text is kept where it reads like an article, beside blocks or not; rows of links aren't."""
+    loose = "<body>An article that stands in the body, with <b>no block</b> around it.<br>It goes on.<div class=footer>Copyright</div></body>"
+    links = '<body><a href=x>Home</a> | <a href=y>About us</a><hr><div class="content"><p>One paragraph of text that is long enough.</p></div></body>'
+    rows = [(1, "u", loose), (2, "u", links)]
+    got = {r.page_id: r.text for r in html_extract.extract(frame(spark, "page_id long, url string, html string", rows)).collect()}
+    assert got == {1: "An article that stands in the body, with no block around it. It goes on.", 2: "One paragraph of text that is long enough."}
+    assert html_extract.extract(frame(spark, "page_id long, url string, html string", [])).count() == 0
+
+
+@pytest.mark.parametrize("source", ["<div>" * 40_000 + "x</p>" * 40_000, "<b>" * 40_000 + "</i>x" * 40_000, "<li><ul>" + "<div>" * 20_000 + "<li>a</li>" * 20_000, "<table><tr>" + "<td>a" * 40_000])
+def test_deep_pages_take_time_in_proportion(source):
+    start = time.time()
+    html_extract.parse(source)
+    assert time.time() - start < 5
+
+
 # URLs
 
 

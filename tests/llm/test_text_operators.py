@@ -310,6 +310,33 @@ def test_scan(spark):
     assert rows[9].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[1].base_sha256 == hashlib.sha256(b"access:0:20").hexdigest()
 
 
+def test_hidden_keys_are_confirmed(spark):
+    """Keys behind a path, over lines, with colons, encrypted, escaped; tokens whose header has blanks; OpenSSH read to its end."""
+    rsa, pkcs8, ssh = keys()
+    b64 = lambda x: base64.b64encode(x).decode()
+    enc = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    lines = lambda x, n=64: re.findall(f".{{1,{n}}}", x)
+    locked = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, b"")), der(4, bytes(96)))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    private = lambda a, b: b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(ssh) + field(a + b + bytes(40))
+    opened = private(b"abcd", b"abcd")
+    texts = [
+        f"{enc(b'{ \"alg\": \"HS256\"}')}.{enc(b' {\"sub\": 1}')}.sig", f"path/{b64(rsa)} x", f"a_{b64(pkcs8)}", "key:\n" + "\n".join(lines(b64(rsa))) + "\nthe end of it",
+        ":".join(f"{x:02x}" for x in rsa), "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + "\n".join(lines(b64(locked))) + "\n-----END ENCRYPTED PRIVATE KEY-----",
+        '{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(lines(b64(pkcs8))) + '\\n-----END PRIVATE KEY-----\\n"}',
+        "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n" + "\n".join(lines(b64(bytes(96)))) + "\n-----END RSA PRIVATE KEY-----",
+        f"x {b64(opened)}",
+    ]
+    clean = [f"x {b64(private(b'abcd', b'abce'))}", f"x {b64(opened[:-30])}", b64(bytes(200)), "M" * 500, "MIIB" * 300, "AAAA" * 300, "/usr/lib/" + "Maps/Path" * 20, ":".join(["0a"] * 60), "a.b." * 500, "-----BEGIN RSA PRIVATE KEY-----\nhello\n-----END RSA PRIVATE KEY-----"]
+    rows = {r.doc_id: r.spans for r in secrets.scan(frame(spark, "doc_id long, text string, spans int", [(i, t, 0) for i, t in enumerate(texts + clean)])).collect()}
+    found = [{x.split(":")[0] for x in rows[i].split(",")} - {"hex"} for i in range(len(texts))]
+    assert found == [{"token"}, {"der"}, {"der"}, {"der"}, {"der"}, {"pem"}, {"pem"}, {"pem"}, {"ssh"}]
+    assert rows[1] == f"der:5:{5 + len(b64(rsa))}" and rows[3].startswith("der:5:") and rows[2] == f"der:2:{2 + len(b64(pkcs8))}"
+    assert texts[3][int(rows[3].split(":")[2]) :].lstrip("=").startswith("\nthe end")
+    assert [rows[len(texts) + i] for i in range(len(clean))] == [""] * len(clean)
+    assert secrets.scan(frame(spark, DOCS, [])).count() == 0
+
+
 def test_base_spans_against_plain_patterns():
     rng = random.Random(9)
     parts = ["token", "TOKEN", "api_key", "apikey", "passwd", "=", ":", " ", '"', "'", "abcdef01", "AKIA", "ABCDEF0123", "-", "0123456789abcdef", "é", "\n", "secret"]

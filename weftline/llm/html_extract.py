@@ -39,8 +39,8 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
 
-TAGS = ["article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "body", "other"]
-TAG_OF = {"h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "dd": "li", "dt": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "html": "body"}
+TAGS = ["article", "main", "section", "div", "p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "body", "loose", "other"]
+TAG_OF = {"#text": "loose", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "dd": "li", "dt": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "html": "body"}
 GROUPS = {
     "good": "article content main post entry story text body blog news page",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar tabs",
@@ -67,36 +67,68 @@ class Node:
 
 
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in document order (parents first), and the runs of text (element, text)."""
+    """Elements in document order (parents first), and the runs of text (element, text).
+
+    Elements are the blocks; a run of text that lies in the body itself is one of its own.
+    """
     nodes, blocks = [Node("body", "", -1, 0)], []
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements, each with its block element
+    bases = [0]  # places in the stack of those that aren't inline
+    inner: list[dict[str, int]] = [{}]  # inline elements open within each of those
+    opened: dict[str, list[int]] = {}  # places of each tag in the stack, so that none is searched for
     run: list[str] = []
-    at, hidden, links = 0, 0, 0
+    at, hidden, links, loose = 0, 0, 0, 0
 
     def flush() -> None:
+        nonlocal loose
         if run:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                blocks.append((stack[-1][1], text))
+                blocks.append((loose or stack[-1][1], text))
+        loose = 0
 
     def add(text: str) -> None:
+        nonlocal loose
         if not hidden and text:
             text = html.unescape(text) if "&" in text else text
             run.append(text)
-            n = nodes[stack[-1][1]]
             k = len(text.split())
+            own = stack[-1][1]
+            if not own and k:
+                if not loose:
+                    nodes.append(Node("#text", "", 0, 1))
+                    loose = len(nodes) - 1
+                own = loose
+            n = nodes[own]
             n.words += k
             if links:
                 n.linked += k
             n.stops += text.count(".") + text.count(",")
 
+    def push(tag: str, block: int) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in INLINE:
+            inner[-1][tag] = inner[-1].get(tag, 0) + 1
+        else:
+            bases.append(len(stack))
+            inner.append({})
+        stack.append((tag, block))
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def pop(to: int) -> None:
         nonlocal hidden, links
         while len(stack) > to:
             tag = stack[-1][0]
-            if tag not in INLINE:
+            if tag in INLINE:
+                inner[-1][tag] -= 1
+            else:
                 flush()
+                bases.pop()
+                inner.pop()
+            opened[tag].pop()
             stack.pop()
             hidden -= tag in RAW
             links -= tag == "a"
@@ -118,12 +150,11 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = name.lower()
         if m.group(1) or m.group(4):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if tag in INLINE:  # ends only what is open within the same block
+                if inner[-1].get(tag):
+                    pop(next(k for k in range(len(stack) - 1, bases[-1], -1) if stack[k][0] == tag))
+            elif opened.get(tag):
+                pop(opened[tag][-1])
             continue
         if tag in VOID:
             if tag in SPACE:
@@ -142,32 +173,24 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in P_ENDERS and not hidden:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in P_ENDERS and not hidden and stack[bases[-1]][0] == "p":
+            pop(bases[-1])
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ENDS[tag]:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE.get(tag, ()):
-                    break
+            place = last(ENDS[tag])
+            if place > last(SCOPE.get(tag, ())):
+                pop(place)
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
         elif tag in RAW:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             hidden += 1
         else:
             flush()
             parent = stack[-1][1]
             names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
             nodes.append(Node(tag, names, parent, nodes[parent].depth + 1))
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
     pop(1)
     flush()
     return nodes, blocks
@@ -233,48 +256,65 @@ def _tree(nodes: list[Node]) -> tuple[list[int], list[int]]:
     return parent, kind
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + exp(-x)) if x > -700 else 0.0
+def _messages(local: np.ndarray, parent: np.ndarray, kind: np.ndarray, levels: list[np.ndarray], edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What marginals() gives, for all trees of a forest at once, level by level."""
+    e = edge[kind]
+    belief, up, down = local.copy(), np.zeros_like(local), np.zeros_like(local)
+    for i in reversed(levels):
+        b = belief[i]
+        up[i] = np.logaddexp(e[i, 1, 0], e[i, 1, 1] + b) - np.logaddexp(e[i, 0, 0], e[i, 0, 1] + b)
+        np.add.at(belief, parent[i], up[i])
+    for i in levels:
+        q = belief[parent[i]] - up[i]
+        down[i] = np.logaddexp(e[i, 0, 1], e[i, 1, 1] + q) - np.logaddexp(e[i, 0, 0], e[i, 1, 0] + q)
+        belief[i] += down[i]
+    return belief, down, up
 
 
 def fit(pages: list[tuple[str, list[int]]], *, steps: int = STEPS, l2: float = 2e-4) -> tuple[list[float], list]:
     """Weights of the features and edge potentials of greatest penalised likelihood.
 
-    pages: (html, labels of its block elements below body).  The root is not content.
+    pages: (html, labels of its elements below body).  The root is not content.
     """
-    trees = []
+    at, of, parent, kind, depth, y = [], [], [], [], [], []
     for source, labels in pages:
         nodes, _ = parse(source)
         if len(nodes) == len(labels) + 1:
-            trees.append(([features(n) for n in nodes], *_tree(nodes), [0, *labels]))
-    w, edge = np.zeros(len(FEATURES)), np.zeros((3, 2, 2))
+            first = len(y)
+            own, kinds = _tree(nodes)
+            for i, n in enumerate(nodes):
+                f = features(n)
+                at += [first + i] * len(f)
+                of += f
+            parent += [first + max(p, 0) for p in own]
+            kind += kinds
+            depth += [n.depth for n in nodes]
+            y += [0, *labels]
+    at, of, parent, kind, depth, y = (np.array(c, dtype=np.int64) for c in (at, of, parent, kind, depth, y))
+    levels = [np.flatnonzero(depth == k) for k in range(1, int(depth.max(initial=0)) + 1)]
+    roots, below, size = np.flatnonzero(depth == 0), np.flatnonzero(depth > 0), len(FEATURES)
+    edge = np.zeros((3, 2, 2))
     edge[:, 0, 0] = edge[:, 1, 1] = 1.0
-    p = np.concatenate([w, edge.ravel()])
+    p = np.concatenate([np.zeros(size), edge.ravel()])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    total = sum(len(t[3]) for t in trees)
     for step in range(1, steps + 1):
-        weights, edges = p[: len(w)].tolist(), p[len(w) :].reshape(3, 2, 2).tolist()
-        g, ge = [0.0] * len(w), [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)]
-        for feats, parent, kind, y in trees:
-            local = [sum(weights[k] for k in f) for f in feats]
-            local[0] = -20.0
-            belief, down, up = marginals(local, parent, kind, edges)
-            for i, f in enumerate(feats):
-                if i:
-                    d = y[i] - _sigmoid(belief[i])
-                    for k in f:
-                        g[k] += d
-                    q, c, e = belief[parent[i]] - up[i], belief[i] - down[i], edges[kind[i]]
-                    joint = [[e[a][b] + a * q + b * c for b in (0, 1)] for a in (0, 1)]
-                    top = max(map(max, joint))
-                    z = sum(exp(x - top) for row in joint for x in row)
-                    for a in (0, 1):
-                        for b in (0, 1):
-                            ge[kind[i]][a][b] += (y[parent[i]] == a and y[i] == b) - exp(joint[a][b] - top) / z
-        grad = np.concatenate([np.array(g), np.array(ge).ravel()]) / total - l2 * p / 10
+        edge = p[size:].reshape(3, 2, 2)
+        local = np.bincount(at, p[of], len(y))
+        local[roots] = -20.0
+        belief, down, up = _messages(local, parent, kind, levels, edge)
+        wrong = y - 1 / (1 + np.exp(-np.clip(belief, -700, 700)))
+        wrong[roots] = 0
+        q, c, e = (belief[parent] - up)[below], (belief - down)[below], edge[kind[below]]
+        joint = e + q[:, None, None] * np.array([0, 1])[None, :, None] + c[:, None, None] * np.array([0, 1])[None, None, :]
+        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+        joint = -joint / joint.sum(axis=(1, 2), keepdims=True)
+        joint[np.arange(len(below)), y[parent[below]], y[below]] += 1
+        by_edge = np.zeros((3, 2, 2))
+        np.add.at(by_edge, kind[below], joint)
+        grad = np.concatenate([np.bincount(of, wrong[at], size), by_edge.ravel()]) / len(y) - l2 * p / 10
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         p = p + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return p[: len(w)].tolist(), p[len(w) :].reshape(3, 2, 2).tolist()
+    return p[:size].tolist(), p[size:].reshape(3, 2, 2).tolist()
 
 
 _MODEL: dict = {}
@@ -300,7 +340,7 @@ def main_text(source: str, fitted, keep: float = KEEP) -> str:
         return ""
     odds = content_odds(nodes, *fitted)
     least = log(keep / (1 - keep))
-    if len(nodes) == 1 or not any(i for i, _ in blocks):  # no block element at all: plain text
+    if all(n.tag == "#text" for n in nodes[1:]):  # no block element at all: plain text
         return "\n".join(t for _, t in blocks)
     return "\n".join(t for i, t in blocks if odds[i] > least)
 
@@ -308,9 +348,11 @@ def main_text(source: str, fitted, keep: float = KEEP) -> str:
 def extract(pages: DataFrame, *, fitted=None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html).
 
-    Narrow: one pass over the whole html.  Null and empty html give an empty
-    text; broken markup is read as far as it makes sense; null ids, null urls
-    and repeated rows are rows like others; other columns are not read.
+    Narrow: one pass over the whole html, of any length and depth.  Null and
+    empty html give an empty text; broken markup is read as far as it makes
+    sense; an element as likely content as not (a tie) isn't kept; null ids,
+    null urls and repeated rows are rows like others; other columns are not
+    read, whatever their names; an empty table gives no rows.
     """
     fitted = fitted or model()
 

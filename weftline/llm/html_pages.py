@@ -65,6 +65,15 @@ class Page:
         for x in self.rng.sample(OUTSIDE, self.rng.randint(1, 4)):
             self.outside(*x)
 
+    def loose(self) -> None:
+        """Text in the body itself, with inline elements: an article's, or a row of links."""
+        if self.rng.random() < 0.6:
+            self.labels.append(0)
+            self.html.append(" | ".join(f'<a href="/x">{self.words(1, 2)}</a>' for _ in range(self.rng.randint(2, 6))) + "<hr>")
+        for _ in range(self.rng.randint(1, 3)):
+            self.labels.append(1)
+            self.html.append(f"{self.words(4, 60)}<br>{self.words(3, 40)} <b>{self.words(1, 3)}</b><hr>")
+
     def build(self) -> tuple[str, list[int]]:
         r = self.rng
         self.html.append("<html><body>")
@@ -72,7 +81,7 @@ class Page:
         if wrap:
             self.open("div", r.choice(["wrapper", "page", "container", ""]), 0)
         self.around()
-        if r.random() < 0.85:
+        if r.random() < 0.75:
             tag, name = r.choice(CONTENT)
             self.open(tag, name, 1)
             if r.random() < 0.8:
@@ -94,6 +103,8 @@ class Page:
         else:
             if r.random() < 0.7:
                 self.block("h1", self.words(2, 10), 1)
+            if r.random() < 0.7 and not wrap:
+                self.loose()
             self.paragraphs(r.randint(2, 6), 1)
         self.around()
         if wrap:
@@ -106,5 +117,5 @@ class Page:
 
 
 def page(seed: int) -> tuple[str, list[int]]:
-    """html, and the labels of its block elements below body in document order."""
+    """html, and the labels of its elements below body (blocks, and loose runs of text) in document order."""
     return Page(seed).build()

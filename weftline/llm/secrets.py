@@ -36,11 +36,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HINT = re.compile(r"""(?:[dD]|[tT]|[nN]|[yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
-#: Object identifiers of key algorithms: RSA, EC, Ed25519, X25519, DSA.
-OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401")}
+#: Pairs of hex digits parted by colons, over lines too.
+COLON_HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:\s*){23,}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])")
+#: A run of base64, which may go on over line ends, plain or escaped.
+B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\\[rn]|[\r\n])+[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BREAKS = re.compile(r"\\[rn]|\s")
+#: How a DER sequence, an SSH key of either kind begin in base64.
+STARTS = re.compile(r"(?=M[A-P]|AAAA|b3Bl)")
+#: JSON begins with a brace or a blank, so the base64 of header and payload with one of four letters.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{7,})\.([eICD][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\[rn])*?)-----END \1-----")
+#: Header lines of the old encrypted form: a cipher and its initial vector.
+DEK = re.compile(r"Proc-Type:\s*4,ENCRYPTED\s*DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s+([A-Za-z0-9+/=\s]+)")
+#: Object identifiers of key algorithms: RSA, RSA-PSS, EC, Ed25519, Ed448, X25519, X448, DSA.
+OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401")}
+#: And of what encrypts them: PBES2, PBES1 and the PKCS#12 schemes.
+LOCKS = {bytes.fromhex(x) for x in ("2a864886f70d01050d", *(f"2a864886f70d0105{k:02x}" for k in (1, 3, 4, 6, 10, 11)), *(f"2a864886f70d010c01{k:02x}" for k in range(1, 7)))}
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 
 
 def _b64(s: str) -> bytes | None:
@@ -91,27 +103,93 @@ def is_der_key(data: bytes) -> bool:
         parts = der_items(inner[algorithm][1])
         if parts and parts[0][0] == 0x06 and parts[0][1] in OIDS:
             return tags[algorithm + 1] == (0x04 if algorithm else 0x03)
+        if parts and parts[0][0] == 0x06 and parts[0][1] in LOCKS:
+            return tags == [0x30, 0x04]
     if len(inner) >= 2 and inner[0] == (2, b"\1") and tags[1] == 0x04 and len(inner[1][1]) in (28, 32, 48, 66):
         return all(t in (0xA0, 0xA1) for t in tags[2:])
     return len(tags) == 2 and tags == [2, 2] and len(inner[0][1]) >= 64 and len(inner[1][1]) in (1, 3)
 
 
+def _field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """A length-prefixed field and where it ends, or None if there isn't so much."""
+    n = int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) and at + 4 <= len(data) else None
+
+
+def _ssh_public_end(data: bytes) -> int | None:
+    got = _field(data, 0)
+    count = SSH_FIELDS.get(got[0]) if got else None
+    for _ in range((count or 0) - 1):
+        got = _field(data, got[1])
+        if not got:
+            return None
+    return got[1] if count else None
+
+
+def ssh_end(data: bytes) -> int | None:
+    """Where an SSH key that begins data ends, or None: a public one, or an OpenSSH private one.
+
+    The private one is read to its end: cipher, derivation and its options,
+    the public keys, and the private part, whose two check numbers are equal
+    where nothing encrypts it.
+    """
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return _ssh_public_end(data)
+    fields, at = [], len(magic)
+    for _ in range(3):
+        got = _field(data, at)
+        if not got:
+            return None
+        fields.append(got[0])
+        at = got[1]
+    count = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= count <= 64:
+        return None
+    for _ in range(count):
+        got = _field(data, at)
+        if not got or _ssh_public_end(got[0]) != len(got[0]):
+            return None
+        at = got[1]
+    got = _field(data, at)
+    if not got or len(got[0]) < 8 or (fields[0] == b"none" and got[0][:4] != got[0][4:8]):
+        return None
+    return got[1]
+
+
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or a public one whose length-prefixed fields fill it exactly."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 3
-    else:
-        at, fields = 0, 0
-    found = []
-    while at + 4 <= len(data) and (not fields or len(found) < fields):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        found.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    if fields:
-        return len(found) == 3
-    return at == len(data) and len(found) >= 2 and found[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+    """An SSH key, public or private, that fills data exactly."""
+    return ssh_end(data) == len(data) > 0
+
+
+def _der_end(data: bytes) -> int | None:
+    """Where the sequence that begins data ends by its own length, or None."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n, at = data[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return None
+        n, at = int.from_bytes(data[2 : 2 + k], "big"), 2 + k
+        if n < 0x80:
+            return None
+    return at + n if data[at] in (0x02, 0x30) and at + n >= 24 else None
+
+
+def key_in_base64(run: str) -> tuple[int, int, str] | None:
+    """Start, end and kind of the first key that a run of base64 holds from some character on."""
+    for m in STARTS.finditer(run):
+        at = m.start()
+        if run[at] == "M":
+            end = _der_end(_b64(run[at : at + 12]) or b"")
+            stop = at + -(-(end or 0) * 4 // 3)
+            if end and stop <= len(run) and (data := _b64(run[at:stop])) and is_der_key(data[:end]):
+                return at, stop, "der"
+        elif (data := _b64(run[at : len(run) - (len(run) - at) % 4 if (len(run) - at) % 4 == 1 else len(run)])) and (end := ssh_end(data)):
+            return at, at + -(-end * 4 // 3), "ssh"
+    return None
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -134,26 +212,59 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def is_locked_key(body: str) -> bool:
+    """The old encrypted form: a cipher with an initial vector of its block's size, over whole blocks."""
+    m = DEK.fullmatch(body.strip())
+    data = _b64("".join(m.group(3).split())) if m else None
+    block = 16 if m and m.group(1).startswith(("AES", "CAMELLIA", "ARIA", "SEED")) else 8
+    return bool(data) and len(m.group(2)) == 2 * block and len(data) % block == 0
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded structure holds; none lies in another one of them."""
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = _b64("".join(m.group(2).split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            data = _b64(BREAKS.sub("", m.group(2)))
+            if (data and (is_der_key(data) or is_ssh_key(data))) or is_locked_key(m.group(2).replace("\\r", "").replace("\\n", "\n")):
                 out.append((m.start(), m.end(), "pem"))
-    if "." in text and "eyJ" in text:
+    if "." in text:
         out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_signed_token(m.group(1), m.group(2))]
-    decoded = [(m.span(), _b64(m.group())) for m in B64.finditer(text)] + [(m.span(), bytes.fromhex(m.group())) for m in LONG_HEX.finditer(text)]
-    for span, data in decoded:
-        if data and not any(a <= span[0] and span[1] <= b for a, b, _ in out):
-            if is_der_key(data):
-                out.append((*span, "der"))
-            elif is_ssh_key(data):
-                out.append((*span, "ssh"))
+    known = list(out)
+    inside = lambda a, b: any(x <= a and b <= y for x, y, _ in known)
+    for m in B64.finditer(text):
+        if inside(*m.span()) or not STARTS.search(m.group()):
+            continue
+        raw = m.group().rstrip("=")
+        run = BREAKS.sub("", raw) if len(BREAKS.split(raw, maxsplit=1)) > 1 else raw
+        if found := key_in_base64(run):
+            start, end, kind = found
+            if run is raw:
+                places = (start, end)
+            else:  # back to places in the text
+                kept = [i for i in _kept(raw)]
+                places = (kept[start], kept[end - 1] + 1)
+            stop = m.start() + places[1]
+            while stop < m.end() and text[stop] == "=":
+                stop += 1
+            out.append((m.start() + places[0], stop, kind))
+    for pattern in (LONG_HEX, COLON_HEX):
+        for m in pattern.finditer(text):
+            data = bytes.fromhex(re.sub(r"[:\s]", "", m.group()))
+            if not inside(*m.span()) and (is_der_key(data) or is_ssh_key(data)):
+                out.append((*m.span(), "der" if is_der_key(data) else "ssh"))
     return out
 
 
+def _kept(raw: str):
+    """Places of the characters that BREAKS leaves."""
+    at = 0
+    for m in BREAKS.finditer(raw):
+        yield from range(at, m.start())
+        at = m.end()
+    yield from range(at, len(raw))
+
+
 def scan_text(text: str) -> tuple[list, list]:
     """(base spans, all spans), each by start, then kind."""
     base = base_spans(text)
@@ -182,8 +293,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row, over whole texts.
 
     Narrow: one pass, nothing is exchanged.  Null texts count as empty and
-    have no spans; null doc_ids and repeated rows are scanned like others;
-    other columns are not read.
+    have no spans; texts of any length are scanned whole; null doc_ids and
+    repeated rows are scanned like others; spans that start together (ties)
+    come by kind; other columns are not read, whatever their names; an empty
+    table gives no rows.
     """
 
     def run(batches):
