@@ -263,6 +263,33 @@ def test_judgements(spark):
 # queries and pipeline
 
 
+def test_canonical_urls(spark):
+    """Case, escapes and dot segments don't hide a blocked word; host and path stay as the url has them."""
+    urls = ["http://a.org/CASINO/x", "http://a.org/%63asino/", "http://a.org/ad/../ads/x", "http://a.org/a/./%61ds/%2e%2e/ads/y", "http://a.org/c/../x", "http://a.org/%2Fads%2F", "http://a.org/100%", "http://A.org", "http://a.org/..", "no url", None, "http://x.net/es/casino", "http://a.org/é%C3%A9%zz"]
+    pages = frame(spark, "page_id long, url string, host string, rule int", [(i, u, "own", 1) for i, u in enumerate(urls)])
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert [got[i].verdict for i in range(len(urls))] == ["block"] * 4 + ["allow"] * 7 + ["block", "allow"]
+    assert (got[1].host, got[1].path) == ("a.org", "/%63asino/") and got[7].host == "a.org" and got[11].rule == "net/es/"
+    forms = pages.select(url_filter.canonical(*url_filter.host_and_path(pages.url))).collect()
+    assert [r[0] for r in forms[:9]] == ["a.org/casino/x", "a.org/casino/", "a.org/ads/x", "a.org/a/ads/y", "a.org/x", "a.org/%2fads%2f", "a.org/100%", "a.org", "a.org"]
+    c = duckdb.connect()
+    c.register("pages", pages.select("page_id", "url").toPandas().astype({"url": object}))
+    assert {r[0]: r[1:] for r in c.sql(queries.SQL["op10_url_filter"]).fetchall()} == {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()}
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_globs_as_a_table(spark):
+    """Some hundred globs, more than the masks that are written out, hold what fnmatch holds."""
+    rng = random.Random(4)
+    globs = ["*" + "".join(rng.choice("abcd") for _ in range(6)) + "*" for _ in range(150)] + [None]
+    urls = [f"http://h.org/{''.join(rng.choice('abcd') for _ in range(60))}" for _ in range(60)] + [f"http://h.org/{g.strip('*')}" for g in globs[:20]]
+    pages = frame(spark, "page_id long, url string", list(enumerate(urls)))
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, rules=(), blocked=frame(spark, "glob string", [(g,) for g in globs + globs])).collect()}
+    assert got == {i: "block" if any(g.strip("*") in u for g in globs if g) else "allow" for i, u in enumerate(urls)}
+    with pytest.raises(ValueError):
+        url_filter.globs_of(frame(spark, "glob string", [("a" * 300_000,)]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
