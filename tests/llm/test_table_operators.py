@@ -112,6 +112,22 @@ def test_ann_recall_scores_and_ties(spark):
         assert v == sorted(v, key=lambda x: (-x[1], x[0]))
 
 
+def test_forest_visits_a_falling_share():
+    """Of vectors of random directions the forest finds 0.9 of the nearest in a part of the rows that falls with their number; near clusters take less."""
+    rng, shares = np.random.default_rng(3), []
+    for n in (2000, 12_000):
+        x = rng.standard_normal((n, 64))
+        asked = rng.choice(n, 64, replace=False)
+        near = x / np.linalg.norm(x, axis=1)[:, None]
+        cos = near[asked] @ near.T
+        cos[np.arange(64), asked] = -2
+        top = np.argsort(-cos, axis=1)[:, :5]
+        (_, mark), = ann.candidates(x, x[asked])
+        assert np.take_along_axis(mark, top, axis=1).mean() >= 0.9
+        shares.append(mark.mean())
+    assert shares[1] < shares[0] < 0.5 and shares[1] < 0.35
+
+
 def test_ann_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>"
     empty = frame(spark, schema, [])

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-TREES = 96
+TREES = 192
 BITS = 30
-#: The trees ascend until together they hold this share of the block's rows, and at least so many (each tree counts).
-CANDIDATES = 0.3
-LEAST = 8192
-ROW_BLOCK, QUERY_BLOCK = 16384, 16384
+#: The trees ascend until together they hold so many rows of a block of n (each tree counts): SHARE * n * (2000 / n) ** FALL.
+#: The share falls with the block; both are set so that of vectors of random directions 0.9 of the nearest are found.
+SHARE, FALL = 0.5, 0.25
+ROW_BLOCK, QUERY_BLOCK = 32768, 16384
 K = 5
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -35,57 +35,72 @@ def _vectors(column) -> np.ndarray:
 def codes(x: np.ndarray, trees: int, bits: int, seed: int = 11) -> np.ndarray:
     """Hash strings as integers, first bit highest: an array of trees by rows."""
     planes = np.random.default_rng(seed).standard_normal((trees * bits, x.shape[1]))
-    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-    out = np.empty((trees, len(x)), dtype=np.int64)
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int32)
+    out = np.empty((trees, len(x)), dtype=np.int32)
     for t in range(trees):
         out[t] = ((x @ planes[t * bits : (t + 1) * bits].T) > 0) @ weights
     return out
 
 
-def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = CANDIDATES, least: int = LEAST):
-    """The k nearest found of each query among rows, by the forest over rows; ties to smaller ids."""
+def needed(n: int, share: float = SHARE, fall: float = FALL) -> float:
+    """How many rows of a block of n the trees of a query must hold together."""
+    return share * n * (2000 / max(n, 1)) ** fall
+
+
+def candidates(rows: np.ndarray, queries: np.ndarray, *, trees: int = TREES, bits: int = BITS, share: float = SHARE):
+    """For portions of the queries: their places, and a mark for each query and row that some tree offers."""
     n, m = len(rows), len(queries)
     code, asked = codes(rows, trees, bits), codes(queries, trees, bits)
-    order = np.argsort(code, axis=1, kind="stable")
+    order = np.argsort(code, axis=1, kind="stable").astype(np.int32)
     arrays = np.take_along_axis(code, order, axis=1)
-    need = max(share * n, least)
+    del code
     lo, hi = np.zeros((trees, m), dtype=np.int64), np.full((trees, m), n, dtype=np.int64)
     open_ = np.ones(m, dtype=bool)
-    for level in range(bits, -1, -1):  # all trees at one level
+    for level in range(bits, -1, -1):  # from the longest prefixes up, all trees at one level
         if not open_.any():
             break
         at = np.flatnonzero(open_)
         shift = bits - level
-        first = (asked[:, at] >> shift) << shift
+        first = (asked[:, at].astype(np.int64) >> shift) << shift
         a = np.stack([np.searchsorted(arrays[t], first[t]) for t in range(trees)])
         b = np.stack([np.searchsorted(arrays[t], first[t] + (1 << shift)) for t in range(trees)])
-        enough = (b - a).sum(axis=0) >= (need if level else 0)
+        enough = (b - a).sum(axis=0) >= (needed(n, share) if level else 0)
         lo[:, at[enough]], hi[:, at[enough]] = a[:, enough], b[:, enough]
         open_[at[enough]] = False
+    for q in range(0, m, 64):
+        mark = np.zeros((min(64, m - q), n), dtype=bool)
+        for t in range(trees):
+            a, size = lo[t, q : q + 64], (hi - lo)[t, q : q + 64]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(a - ends + size, size)
+            mark[np.repeat(np.arange(len(a)), size), order[t, place]] = True
+        yield q, mark
+
+
+def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = SHARE):
+    """The k nearest found of each query among rows, by the forest over rows; ties to smaller ids."""
     norms = np.sqrt((rows * rows).sum(axis=1))
     out = []
-    for q in range(m):
-        mark = np.zeros(n, dtype=bool)
-        for t in range(trees):
-            mark[order[t, lo[t, q] : hi[t, q]]] = True
-        mark &= row_ids != query_ids[q]
-        found = np.flatnonzero(mark)
-        if not len(found):
-            continue
-        v = queries[q]
-        size = np.sqrt((v * v).sum())
-        near = (rows[found] @ v) / (norms[found] * size)
-        if len(found) > k:
-            keep = near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9
-            found = found[keep]
-        # row by row in one fixed order, so that equal vectors have equal scores wherever they lie
-        exact = (rows[found] * v).sum(axis=1) / (norms[found] * size)
-        best = np.lexsort((row_ids[found], -exact))[:k]
-        out.append((np.full(len(best), query_ids[q]), row_ids[found][best], exact[best]))
+    for first, marks in candidates(rows, queries, trees=trees, bits=bits, share=share):
+        for q, mark in enumerate(marks, first):
+            found = np.flatnonzero(mark & (row_ids != query_ids[q]))
+            if len(found) < k:  # too few offered: all are asked
+                found = np.flatnonzero(row_ids != query_ids[q])
+            if not len(found):
+                continue
+            v = queries[q]
+            size = np.sqrt((v * v).sum())
+            near = (rows[found] @ v) / (norms[found] * size)
+            if len(found) > k:
+                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
+            # row by row in one fixed order, so that equal vectors have equal scores wherever they lie
+            exact = (rows[found] * v).sum(axis=1) / (norms[found] * size)
+            best = np.lexsort((row_ids[found], -exact))[:k]
+            out.append((np.full(len(best), query_ids[q]), row_ids[found][best], exact[best]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = CANDIDATES, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, trees: int = TREES, bits: int = BITS, share: float = SHARE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by cosine.
 
     vectors and queries hold vec_id and embedding.  Rows are dealt into blocks
@@ -95,7 +110,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, trees: int =
     another length than most, or hold null or non-finite components take no
     part.  Null ids take no part; a repeated id is several candidates, but is
     never a neighbour of itself; ties go to the smaller vec_id.  Copies of a
-    vector are dealt to all blocks, so no block grows with them.
+    vector are dealt to all blocks, so no block grows with them.  Other
+    columns are not read, whatever their names; an empty table gives no rows.
+    A query's work is a share of each block, so it grows with the rows, more
+    slowly within a block (see needed).
     """
     value = F.transform("embedding", lambda v: v.cast("double"))
     sound = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(embedding, v -> v <> 0)"
