@@ -74,6 +74,40 @@ def test_nearest_names_is_the_nested_loop(spark):
     assert got == expected
 
 
+def test_nearest_names_of_any_length(spark):
+    """Names of up to 45 characters that share long beginnings, mutated by up to four edits, within two groups."""
+    import random
+
+    rng = random.Random(9)
+
+    def mutated(name):
+        for _ in range(rng.randint(0, 4)):
+            i, kind = rng.randint(0, len(name)), rng.randint(0, 2)
+            name = name[:i] + (rng.choice("xyz") if kind else "") + name[i + (kind != 1) :]
+        return name
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    names = list({"test_should_"[: rng.randint(0, 12)] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 33))) for _ in range(60)})
+    targets = list({mutated(rng.choice(names)) for _ in range(60)})
+    expected = {}
+    for t in targets:
+        for g in "pq":
+            near = [(0 if t.lower() == c.lower() and t != c else 1, distance(t.lower(), c.lower()), i, c) for i, c in enumerate(names) if "pq"[i % 2] == g]
+            if best := min((n for n in near if n[1] <= 3), default=None):
+                expected[t, g] = best[3]
+    given = spark.createDataFrame([(n, i, "pq"[i % 2]) for i, n in enumerate(names)], "candidate string, ord int, g string")
+    asked = spark.createDataFrame([(t, g) for t in targets for g in ["p", "q", None]], "target string, g string")
+    assert {(r.target, r.g): r.match for r in nearest_names(asked, given, within=["g"]).collect()} == expected
+
+
 def test_nearest_entries(spark):
     entries = spark.createDataFrame([("helpers.ts", "src", 0), ("Helper.ts", "src", 1), ("zzz", "src", 2), ("helper.ts", "lib", 3)], "entry string, parent string, ord int")
     targets = spark.createDataFrame([("helper.ts", "src"), ("helper.js", "src"), ("qqq", "src")], "target string, parent string")

@@ -90,7 +90,7 @@ def interface_keys(code: DataFrame) -> DataFrame:
     heads = [("interface", rf"{maybe('export')}interface{W}{N}(?:{W}extends{W}[\w,\s<>]+)?{S}\{{"), ("type", rf"{maybe('export')}type{W}{N}{S}={S}\{{")]
     rows = each_pattern(code.select("path", "language", "content"), {"typescript": heads}, None)
     found = occurrences(rows, "content", F.col("regex"), {"type_name": 1})
-    body = enclosed(F.substring("content", F.col("start") + F.char_length("raw"), F.lit(1 << 20)), "{", "}")
+    body = enclosed(F.substring("content", F.col("start") + F.char_length("raw"), F.char_length("content")), "{", "}")
     keys = F.filter(F.transform(lines_at_depth_zero(body), lambda r: F.regexp_extract(r, rf"^(?:readonly{W})?{N}\??{S}:", 1)), lambda k: k != "")
     return found.select("type_name", F.explode(keys).alias("key")).distinct()
 
@@ -111,5 +111,5 @@ def comments(code: DataFrame) -> DataFrame:
     bare = F.col("raw")
     for mark in (r"^/\*\*|\*/\z", r"(?m)^///?", r"(?m)^#", rf"(?m)^{S}\*\s?"):
         bare = F.regexp_replace(bare, mark, "")
-    after = F.regexp_extract(F.substring("content", F.col("start") + 1, F.lit(1 << 20)), NEXT_SYMBOL, 1)
+    after = F.regexp_extract(F.substring("content", F.col("start") + 1, F.char_length("content")), NEXT_SYMBOL, 1)
     return found.select("path", "language", "kind", trimmed(bare).alias("text"), F.when(after == "", "unknown").otherwise(after).alias("symbol"), "pattern", "start").where("text <> ''")

@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, product
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import entry_likeness
 
 DISTANCE = 3
+#: Names up to this length meet by what deletions leave of them, longer ones by their pieces.
+SHORT = 12
+
+
+def _deletions(names: DataFrame, text: str, length: str, distance: int) -> DataFrame:
+    """names with __left: what stays of the text when each set of at most `distance` characters is deleted."""
+    out, before = names, F.lit(0)
+    for k in range(distance):
+        place = f"__p{k}"
+        out = out.withColumn(place, F.explode(F.when(before == 0, F.sequence(F.lit(0), F.col(length))).when(before < F.col(length), F.sequence(before + 1, F.col(length)))))
+        before = F.col(place)
+    places = [f"__p{k}" for k in range(distance)]
+    between = [f"substring({text}, {a} + 1, {b} - {a} - 1)" for a, b in zip(["0", *places], places)]
+    return out.withColumn("__left", F.expr(f"concat({', '.join([*between, f'substring({text}, {places[-1]} + 1)'])})")).drop(*places)
+
+
+def _paths(distance: int) -> list[tuple[int, ...]]:
+    """(difference of lengths, three pieces, their shifts): the ways in which three of 2 * distance pieces stay whole.
+
+    The shift changes by one with every character inserted or deleted, so on
+    the way from the start over the pieces to the end it changes by at most `distance`.
+    """
+    steps = [v for v in product(range(-distance, distance + 1), repeat=4) if sum(map(abs, v)) <= distance]
+    return [(sum(v), *three, v[0], v[0] + v[1], v[0] + v[1] + v[2]) for three in combinations(range(distance + 3), 3) for v in steps]
 
 
 def nearest_names(targets: DataFrame, candidates: DataFrame, *, within: list[str] = (), distance: int = DISTANCE) -> DataFrame:
@@ -17,29 +46,37 @@ def nearest_names(targets: DataFrame, candidates: DataFrame, *, within: list[str
     same columns.  The first candidate that differs in case only wins, else
     the least edit distance ignoring case, the first of equals.
 
-    An equi-join, not a loop over all pairs: both sides are cut into
-    distance + 1 pieces, of which an unchanged one remains (pigeonhole); a
-    candidate's piece k, of a length that follows from the candidate's own,
-    is looked for in the target at its place shifted by up to `distance`.
-    Names too short for pieces are compared by their lengths alone.
+    An equi-join, not a loop over all pairs, on keys that cover most of a
+    name, so that a beginning which many names share makes no hot key.
+    Candidates of up to SHORT characters meet by what is left when up to
+    `distance` characters are deleted on each side.  A longer one is cut into
+    distance + 3 pieces, of which three stay whole (pigeonhole), each at its
+    place shifted by what was inserted and deleted before; every three of them
+    are one key.  Hashes are joined; what meets is compared by distance.
     """
-    keys = list(within)
-    pieces = distance + 1
+    keys, pieces = list(within), distance + 3
     own = targets.select("target", *keys).distinct().withColumn("tl", F.lower("target")).withColumn("tn", F.char_length("target"))
     given = candidates.groupBy("candidate", *keys).agg(F.min("ord").alias("ord")).withColumn("cl", F.lower("candidate")).withColumn("cn", F.char_length("candidate"))
-    # candidate side: piece k covers [k n / pieces, (k + 1) n / pieces)
-    start = F.expr(f"k * cn div {pieces}")
-    cut = given.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("at", start).withColumn("len", F.expr(f"(k + 1) * cn div {pieces}") - start)
-    long_ = cut.where(F.col("cn") >= pieces).withColumn("piece", F.expr("substring(cl, int(at + 1), int(len))")).select("candidate", *keys, "ord", "cl", "cn", "k", "piece")
-    # target side: for every length a candidate may have, and every shift
-    shifts = own.withColumn("cn", F.explode(F.sequence(F.greatest(F.lit(pieces), F.col("tn") - distance), F.greatest(F.lit(pieces), F.col("tn") + distance))))
-    shifts = shifts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("at", start).withColumn("len", F.expr(f"(k + 1) * cn div {pieces}") - start)
-    shifts = shifts.withColumn("s", F.explode(F.sequence(F.lit(-distance), F.lit(distance)))).where("at + s >= 0 and at + s + len <= tn")
-    probe = shifts.select("target", *keys, "tl", "tn", "cn", "k", F.expr("substring(tl, int(at + s + 1), int(len))").alias("piece")).distinct()
-    met = probe.join(long_, [*keys, "cn", "k", "piece"]).select("target", *keys, "tl", "candidate", "cl", "ord").distinct()
-    small = own.where(F.col("tn") < pieces + distance).withColumn("cn", F.explode(F.sequence(F.greatest(F.lit(0), F.col("tn") - distance), F.lit(pieces - 1))))
-    short = small.where(F.abs(F.col("cn") - F.col("tn")) <= distance).join(given.where(F.col("cn") < pieces), [*keys, "cn"]).select("target", *keys, "tl", "candidate", "cl", "ord")
-    pairs = met.unionByName(short).withColumn("d", F.levenshtein("tl", "cl", distance)).where("d >= 0")
+    if keys:
+        given = given.join(own.select(*keys).distinct(), keys, "left_semi")
+    asked, offered = ["target", *keys, "tl"], ["candidate", *keys, "cl", "ord"]
+    left = F.xxhash64(*keys, "__left").alias("__key")
+    short = _deletions(own.where(F.col("tn") <= SHORT + distance), "tl", "tn", distance).select(*asked, left), _deletions(given.where(F.col("cn") <= SHORT), "cl", "cn", distance).select(*offered, left)
+
+    def piece(text: str, k: str, shift: str = "0") -> str:
+        return f"substring({text}, int({k} * cn div {pieces} + {shift} + 1), int(({k} + 1) * cn div {pieces} - {k} * cn div {pieces}))"
+
+    whole = lambda text, shifts: F.xxhash64(*keys, "cn", "i", "j", "k", *[F.expr(piece(text, k, s)) for k, s in zip("ijk", shifts)]).alias("__key")
+    names = ("diff", "i", "j", "k", "si", "sj", "sk")
+    paths = F.broadcast(own.sparkSession.createDataFrame(pa.table({n: pa.array(v, pa.int32()) for n, v in zip(names, zip(*_paths(distance)))})))
+    lengths = own.where(F.col("tn") > SHORT - distance).withColumn("cn", F.explode(F.sequence(F.greatest(F.lit(SHORT + 1), F.col("tn") - distance), F.greatest(F.lit(SHORT + 1), F.col("tn") + distance))))
+    probe = lengths.withColumn("diff", F.col("tn") - F.col("cn")).join(paths, "diff").where(" and ".join(f"{k} * cn div {pieces} + s{k} >= 0 and ({k} + 1) * cn div {pieces} + s{k} <= tn" for k in "ijk"))
+    threes = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", t)]) for t in combinations(range(pieces), 3)]))
+    long_ = probe.select(*asked, whole("tl", ("si", "sj", "sk"))), given.where(F.col("cn") > SHORT).select("*", threes.alias("t")).select("*", "t.*").select(*offered, whole("cl", "000"))
+    probes = short[0].unionByName(long_[0]).withColumnsRenamed({k: f"__{k}" for k in keys})
+    pairs = probes.join(short[1].unionByName(long_[1]), "__key").where(reduce(and_, [F.col(f"__{k}") == F.col(k) for k in keys], F.lit(True)))
+    # a pair may meet at several keys, which doesn't matter to a minimum
+    pairs = pairs.withColumn("d", F.levenshtein("tl", "cl", distance)).where("d >= 0")
     rank = F.struct(F.when((F.col("d") == 0) & (F.col("target") != F.col("candidate")), 0).otherwise(1).alias("r"), F.col("d").alias("d"), F.col("ord").alias("o"))
     return pairs.groupBy("target", *keys).agg(F.min_by("candidate", rank).alias("match"))
 

@@ -60,7 +60,7 @@ def imports(code: DataFrame) -> DataFrame:
     what = trimmed(F.col("what"))
     braces = F.instr(what, "{")
     inner = lambda c: trimmed(F.regexp_replace(F.regexp_replace(trimmed(c), r"^\{", ""), r"\}\z", ""))
-    named = F.when(braces > 0, _named(inner(F.substring(what, braces, F.lit(1 << 20))))).otherwise(F.array().cast("array<string>"))
+    named = F.when(braces > 0, _named(inner(F.substring(what, braces, F.char_length(what))))).otherwise(F.array().cast("array<string>"))
     first = trimmed(F.regexp_replace(trimmed(F.when(braces > 0, F.substring(what, F.lit(1), braces - 1)).otherwise(what)), r",\z", ""))
     default = F.filter(F.array(first), lambda s: s != "")
     star, space = what.startswith("*"), F.regexp_extract(what, rf"^\*{W}as{W}{N}\z", 1)
@@ -93,7 +93,7 @@ def calls(code: DataFrame) -> DataFrame:
     found = found.where(~F.col("raw").contains("\n") & ~F.col("name").isin(sorted(NO_CALLS)))
     before = F.regexp_extract(F.substring("block", F.greatest(F.col("start") - 19, F.lit(1)), F.least(F.col("start"), F.lit(20))), r"[^\n]*\z", 0)
     found = found.where(~before.endswith(".") & ~before.rlike(NOT_BEFORE))
-    tail = F.substring("block", F.col("start") + F.char_length("raw"), F.lit(1 << 20))
+    tail = F.substring("block", F.col("start") + F.char_length("raw"), F.char_length("block"))
     found = found.withColumn("inner", enclosed(tail, "(", ")")).where("inner is not null")
     parts = top_level_parts(F.col("inner"), "([{", ")]}")
     found = found.withColumn("parts", F.when(trimmed(F.col("inner")) == "", F.array().cast("array<string>")).otherwise(parts))
@@ -107,7 +107,7 @@ def config_keys(code: DataFrame) -> DataFrame:
     out = None
     for step, pattern in ((6, TYPED_OBJECT), (7, TYPED_CALL)):
         found = occurrences(js, "block", pattern, {"type_name": 1})
-        body = enclosed(F.substring("block", F.col("start") + F.char_length("raw"), F.lit(1 << 20)), "{", "}")
+        body = enclosed(F.substring("block", F.col("start") + F.char_length("raw"), F.char_length("block")), "{", "}")
         keyed = F.transform(lines_at_depth_zero(body), lambda r: F.when(r.rlike(rf"^\w+{S}\??:"), F.regexp_extract(r, rf"^{N}", 1)).otherwise(F.regexp_extract(r, rf"^(?!(?:true|false|null|undefined)\b){N}{S}[,}}]?{S}\z", 1)))
         found = found.withColumn("keys", F.array_distinct(F.filter(keyed, lambda k: k != ""))).where("size(keys) > 0")
         joined = F.concat(F.col("type_name"), F.lit(" { "), F.array_join("keys", ", "), F.lit(" }"))

@@ -78,9 +78,14 @@ class Check:
     def rule(self, kind: str) -> dict:
         return {"enabled": True, "severity": validate.SEVERITY.get(kind, "warning")} | self.config["rules"].get(kind, {})
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """Every file and directory, listed once for all that is read."""
+        return self.hold(files.tree(self.spark, self.root))
+
     @cached_property
     def all_documents(self) -> DataFrame:
-        return self.given.get("documents") if "documents" in self.given else files.documents(self.spark, self.root, self.config["include"], self.config["exclude"])
+        return self.given.get("documents") if "documents" in self.given else files.documents(self.spark, self.root, self.config["include"], self.config["exclude"], listed=self.tree)
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -94,18 +99,17 @@ class Check:
     def code(self) -> DataFrame:
         if "code" in self.given:
             return self.given["code"]
-        return self.hold(files.code_files(self.spark, self.root, self.config["source_patterns"]).drop("pattern_ord"))
+        return self.hold(files.code_files(self.spark, self.root, self.config["source_patterns"], listed=self.tree).drop("pattern_ord"))
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return self.given.get("manifests") if "manifests" in self.given else files.manifests(self.spark, self.root, self.config["manifest_files"] or [])
+        return self.given.get("manifests") if "manifests" in self.given else files.manifests(self.spark, self.root, self.config["manifest_files"] or [], listed=self.tree)
 
     @cached_property
     def listing(self) -> DataFrame:
         if "listing" in self.given:
             return self.given["listing"]
-        every = files.read(self.spark, self.root, F.lit(True)).select("path")
-        return self.hold(files.listing(every))
+        return self.hold(files.listing(self.tree.select("path")))
 
     @cached_property
     def commits(self) -> DataFrame | None:

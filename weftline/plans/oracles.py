@@ -410,7 +410,7 @@ RAW: dict[str, str] = {
     "cosine_pairs": "SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "illustrative_flags": f"""WITH v AS (SELECT p_partkey, (['src/', 'my-app/', 'x/{{id}}/', 'foo/', 'lib/second.', 'a/<b>/'])[p_partkey % 6 + 1] || replace(p_name, ' ', '') AS v, (['GET', 'Modal', 'Mymodule', 'ab', 'Widget', 'testing'])[p_partkey % 6 + 1] AS w FROM part) SELECT p_partkey, {example_path('v')} AS path_flag, {example_symbol('w')} AS symbol_flag FROM v""",
     "path_within_root": f"""WITH v AS (SELECT p_partkey, {normal("'/project/docs/' || (['../src/', './', '../../', '../../projectExtra/', 'a/../b/', '../../project/'])[p_partkey % 6 + 1] || replace(p_name, ' ', '_')")} AS full_path FROM part) SELECT p_partkey, full_path, full_path = '/project' OR starts_with(full_path, '/project/') AS inside FROM v""",
-    "markdown_escape": "SELECT path, replace(replace(substr(content, 1, 120), chr(92), chr(92) || chr(92)), '|', chr(92) || '|') AS cell FROM docs_syn",
+    "markdown_escape": "SELECT path, replace(replace(content, chr(92), chr(92) || chr(92)), '|', chr(92) || '|') AS cell FROM docs_syn",
     "report_markdown": f"""WITH {RESULTS}, cells AS (SELECT path, line, type, value, '| ' || line || ' | ' || CASE WHEN severity = 'error' THEN '❌ Error' ELSE '⚠️ Warning' END || ' | ' || replace(replace(coalesce(message, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|') || ' | ' || replace(coalesce(suggestion, '-'), '|', chr(92) || '|') || ' |' AS r FROM buckets WHERE b IN ('error', 'warning'))
       SELECT path, '### 📄 `' || path || '`' || chr(10) || chr(10) || '| Line | Severity | Issue | Suggestion |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg(r, chr(10) ORDER BY line, type, value, r) || chr(10) || chr(10) AS section FROM cells GROUP BY path""",
 }

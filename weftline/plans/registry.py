@@ -391,7 +391,7 @@ def path_within_root(c):
 
 @query
 def markdown_escape(c):
-    return c.docs.select("path", report.escape_cell(F.substring("content", 1, 120)).alias("cell"))
+    return c.docs.select("path", report.escape_cell(F.col("content")).alias("cell"))
 
 
 @query
