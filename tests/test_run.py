@@ -135,3 +135,27 @@ def test_stream(spark, tmp_path):
     assert go() == {("a.md", "17")}
     (docs / "c.md").write_text("React 19")
     assert go() == {("a.md", "17"), ("c.md", "19")}
+
+
+def test_every_file_is_seen(spark, tmp_path):
+    """Hidden and underscored names, empty files and empty directories are there like others."""
+    from weftline.sources import files
+
+    made = {"README.md": "hi é", "docs/_index.md": "x", "docs/.hidden.md": "", "src/__init__.py": "", "src/_private/deep/er/mod.py": "a = 1", ".github/workflows/ci.yml": "on: push", "a b+c%20.md": "odd"}
+    for path, content in made.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content)
+    (tmp_path / "empty" / "er").mkdir(parents=True)
+    (tmp_path / "broken.md").write_bytes(b"ok \xff")
+    listed = {r.path: r.is_file for r in files.tree(spark, str(tmp_path)).collect()}
+    assert {p for p, f in listed.items() if f} == {*made, "broken.md"} and {"empty", "empty/er", "src/_private/deep", ".github"} <= listed.keys()
+    docs = {r.path: r.content for r in files.documents(spark, f"file://{tmp_path}", ["**/*.md"], ["broken.md"]).collect()}
+    assert docs == {p: c for p, c in made.items() if p.endswith(".md")}
+    code = sorted((r.path, r.content, r.pattern_ord) for r in files.code_files(spark, str(tmp_path), ["**/*.py", "src/*.py"]).collect())
+    assert code == [("src/__init__.py", "", 0), ("src/__init__.py", "", 1), ("src/_private/deep/er/mod.py", "a = 1", 0)]
+    assert [r.content for r in files.documents(spark, str(tmp_path), ["broken.md"]).collect()] == ["ok �"]
+    assert "" in {r.path for r in files.listing(files.tree(spark, str(tmp_path)).select("path")).collect()}
+    links = "[a](./docs/_index.md) [b](./src/__init__.py) [c](./.github/workflows/ci.yml) [d](./empty) [e](./docs/.hidden.md) [f](./gone.md)"
+    (tmp_path / "README.md").write_text(links)
+    check = run(spark, settings(tmp_path))
+    assert {r.value for r in check.results.collect() if r.type == "file-path" and not r.valid} == {"./gone.md"}
