@@ -389,6 +389,13 @@ RAW: dict[str, str] = {
     "last_commit": f"WITH {LAST} SELECT * FROM last_rows",
     "commits_after_doc": f"WITH {GRAPH}, {LAST}, {AFTER} SELECT * FROM after_rows",
     "changed_since": f"WITH {LAST} SELECT * FROM changed",
+    "changed_between": "SELECT DISTINCT path FROM commits_syn WHERE ts > (SELECT min(ts) FROM commits_syn) AND ts <= (SELECT max(ts) FROM commits_syn)",
+    "graph_validity": """WITH m AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE o_orderkey * 10000 END AS t, ([NULL, 'abc', 'zzz', ''])[o_orderkey % 4 + 1] AS h, ([NULL, 'c1', 'c2', NULL, 'c1'])[o_orderkey % 5 + 1] AS g FROM orders),
+      v AS (SELECT *, coalesce(t, 0) <> 0 AND (coalesce(h, '') = '' OR h = 'abc') AS sound, 300000000 - t < 86400000 AS young FROM m)
+      SELECT o_orderkey, coalesce(sound AND CASE WHEN g IS NOT NULL THEN g = 'c1' ELSE young END, false) AS valid_at_commit, coalesce(sound AND young, false) AS valid_by_age FROM v""",
+    "embeddings_missing": """WITH t AS (SELECT doc_id, coalesce(lang, 'none') AS kind, coalesce(lang, 'none') || ':' || md5(coalesce(text, '')) AS key FROM documents)
+      SELECT DISTINCT kind, key FROM t WHERE key NOT IN (SELECT key FROM t WHERE doc_id % 3 = 0)""",
+    "cache_fresh": "SELECT 'https://x.org/' || o_orderkey AS url, o_orderkey * 1000 AS ts_ms FROM orders WHERE 4000000 - o_orderkey * 1000 < 3600000",
     "factor_validity": f"WITH {FACTORS} SELECT * FROM f_validity",
     "factor_time_delta": f"WITH {FACTORS} SELECT * FROM f_delta",
     "factor_churn": f"WITH {FACTORS} SELECT * FROM f_churn",

@@ -292,6 +292,34 @@ def changed_since(c):
     return c.changed()
 
 
+@query
+def changed_between(c):
+    ends = c.commits.agg(F.min(F.struct("ts", "hash"))["hash"].alias("a"), F.max(F.struct("ts", "hash"))["hash"].alias("b")).first()  # one row
+    return history.changed_between(c.commits, ends["a"], ends["b"])
+
+
+@query
+def graph_validity(c):
+    key = F.col("o_orderkey")
+    choice = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (key % n + 1).cast("int"))
+    meta = c.orders.select("o_orderkey", F.when(key % 7 == 0, None).when(key % 7 == 1, 0).otherwise(key * 10_000).cast("long").alias("build_ts_ms"), choice(4, None, "abc", "zzz", "").alias("config_hash"), choice(5, None, "c1", "c2", None, "c1").alias("git_commit"))
+    here, nowhere = (state.graph_is_valid(meta, "abc", commit, 300_000_000).select("o_orderkey", F.col("valid").alias(name)) for commit, name in (("c1", "valid_at_commit"), (None, "valid_by_age")))
+    return here.join(nowhere, "o_orderkey")
+
+
+@query
+def embeddings_missing(c):
+    texts = c.documents.select(F.coalesce("lang", F.lit("none")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    cached = texts.where("doc_id % 3 = 0").select(F.concat("kind", F.lit(":"), F.md5("text")).alias("key"))
+    return state.missing_embeddings(texts, cached).select("kind", "key")
+
+
+@query
+def cache_fresh(c):
+    cache = c.orders.select(F.concat(F.lit("https://x.org/"), F.col("o_orderkey").cast("string")).alias("url"), (F.col("o_orderkey") * 1000).alias("ts_ms"))
+    return state.fresh(cache, 4_000_000, 3600)
+
+
 @query
 def factor_validity(c):
     return c.factors()[0]
