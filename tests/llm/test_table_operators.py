@@ -9,6 +9,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from brute import brute_join
 from weftline.llm import ann, html_extract, html_pages, mixing, queries, sharding, url_filter
@@ -51,6 +53,22 @@ def test_sharding(spark):
     assert Counter((r.doc_id, r.shard) for r in again if r.doc_id != 3) == Counter((r.doc_id, r.shard) for r in got if r.doc_id != 3)
 
 
+def test_shards_are_runs_of_the_sorted_keys(spark):
+    """Brute force: rows sorted by (hash of the text, doc_id) fall into the shards in order, and slots count them."""
+    rng = random.Random(8)
+    rows = [(i, None if i % 50 == 0 else "".join(rng.choice("abc ") for _ in range(rng.randint(0, 300))), "s") for i in range(700)] + [(900 + i, "one hot text", "s") for i in range(300)]
+    got = {r.doc_id: r for r in sharding.shard_by_bytes(frame(spark, DOCS, rows), 8).collect()}
+    order = sorted(rows, key=lambda r: ((42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42)) >> 1, r[0]))
+    places = [(got[r[0]].shard, got[r[0]].slot) for r in order]
+    assert places == sorted(places)
+    ends, total, below = [], sum(r.size for r in got.values()), 0
+    for a, b in zip(order, order[1:]):
+        below += got[a[0]].size
+        if got[a[0]].shard != got[b[0]].shard:
+            ends += [below] * (got[b[0]].shard - got[a[0]].shard)
+    assert len(ends) == 7 and all(abs(e - total * (i + 1) / 8) <= 0.01 * total / 8 + 301 for i, e in enumerate(ends))
+
+
 def test_sharding_of_odd_tables(spark):
     assert sharding.shard_by_bytes(frame(spark, DOCS, [])).count() == 0
     one = [(1, "a", "s")] * 100  # rows that nothing tells apart are cut as well
@@ -336,6 +354,21 @@ def test_pipeline_repeated_ids(spark):
     assert all(abs(taken[s] - want[s]) <= 30 for s in "ab") and max(Counter(r.text for r in mixed).values()) <= 2
 
 
+def test_pipeline_of_odd_tables(spark):
+    """Columns named like those that stages make stay as they are; an empty table goes through all stages."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("grade", "rejected", "p_toxic", "copies", "component_id", "n_similar", "size", "shard", "hits")}
+    wide = docs.withColumns(extra)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, wide, DIR)
+        assert out.columns == wide.columns, name
+        assert out.count() and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in extra), name
+        assert stage(spark, wide.limit(0), DIR).count() == 0, name
+    assert p.STAGES[-1][1](spark, wide.limit(0), DIR).count() == 0 and p.STAGES[-1][1](spark, wide.limit(5), DIR).count() == 5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
