@@ -15,6 +15,17 @@ BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch between the JVM and Python, where each holds a whole text.
+BATCH = 512
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to few rows, unless it has a number of its own: thousands of texts would fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, table
+from ._common import partitions, table, whole_texts
 from .shingles import Words, mix, shingle_runs
 
 SAMPLES = 64
@@ -124,6 +124,7 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, width: int = WIDTH)
     the same rows in the same partitions each time, as a stored table does.
     """
     spark = docs.sparkSession
+    whole_texts(spark)
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(doc.isNull().alias("a"), F.coalesce(F.bitwise_not(doc), F.lit(0)).alias("b"), F.xxhash64(text).alias("c"), F.monotonically_increasing_id().alias("d"))
     rows = docs.select(doc.alias("doc_id"), text.alias("text"), key.alias("key"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, whole_texts
 from .html_pages import page
 
 TRAINING_PAGES = 400
@@ -355,6 +355,7 @@ def extract(pages: DataFrame, *, fitted=None) -> DataFrame:
     read, whatever their names; an empty table gives no rows.
     """
     fitted = fitted or model()
+    whole_texts(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

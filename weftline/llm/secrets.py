@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, whole_texts
 
 BASE = ("assign", "access", "hex")
 CONFIRMED = ("pem", "token", "der", "ssh")
@@ -310,6 +310,7 @@ def scan(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    whole_texts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -323,6 +324,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         for texts in series:
             yield pd.Series([None if t is None else redact(t, scan_text(t)[1]) for t in texts], dtype=object)
 
+    whole_texts(docs.sparkSession)
     clean = F.pandas_udf(run, "string", functionType=F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn("text", clean("text"))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_path, table
+from ._common import shared_path, table, whole_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -479,6 +479,7 @@ def encode(docs: DataFrame, *, model_path: str = MODEL) -> DataFrame:
     does: a word that isn't in its partition's table goes through the same
     fold where it stands.
     """
+    whole_texts(docs.sparkSession)
     model = load_model(model_path)
     path = cut_table(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import table, written
 
 #: The fit takes at most so many labelled documents (lowest hashes of doc_id).
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 LETTERS = r"[^\p{L}]+"
 #: Hashed features: the space is fixed, beginnings have so many characters, 0 is the word itself.
 BUCKETS = 1 << 18
@@ -192,7 +192,7 @@ def sample(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_L
     found = found.select(F.md5("text").alias("key"), "grade", buckets(word_set(F.col("text"))).alias("at")).groupBy("key").agg(F.max("grade").alias("grade"), F.any_value("at").alias("at"))
     fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")
     got = written(found.select("grade", fold.alias("fold"), "at"), "toxicity").toArrow()  # at most max_labelled rows
-    grade = np.asarray(got["grade"], dtype=np.int64)
+    grade = np.array(got["grade"], dtype=np.int64)
 
     def portions():
         for i in range(0, got.num_rows, 500):  # repeats are counted by portions, so that little is held at once
@@ -211,7 +211,7 @@ def sample(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_L
     held = np.abs(first) * feature_scale(total, square, max(1, len(grade))) > min(PENALTIES) / 4
     parts = [(doc[k], at[k], value[k]) for doc, at, value in portions() for k in [held[at]]]
     doc, at, value = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
-    return Rows(doc, at, value, got.num_rows), grade, np.asarray(got["fold"], dtype=np.int64)
+    return Rows(doc, at, value, got.num_rows), grade, np.array(got["fold"], dtype=np.int64)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> CumulativeLink:
