@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import table, whole_texts, written
 from .components import components
 from .shingles import Words, shingle_sets
 
@@ -184,6 +184,7 @@ def similar_classes(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den:
     are left out.
     """
     spark = docs.sparkSession
+    whole_texts(spark)
     texts = _texts(docs, doc_id, text)
     both = written(_digest(texts, width), "digest")
     digest = both.where("chunk is null").select("doc_id", "n", "f1", "f2")
@@ -231,8 +232,10 @@ def similar(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = D
     component_id is the smallest doc_id reachable by links.  Null and empty
     texts and those of white space have no shingles and no links.  Rows that
     repeat a doc_id count as documents of their own; a null doc_id is linked
-    like others but gives no component_id unless a linked row has one.  Other
-    columns are not read; an empty table gives no rows.
+    like others but gives no component_id unless a linked row has one.  Texts
+    of any length count whole; a pair just at the threshold (a tie) is linked.
+    Other columns are not read, whatever their names; an empty table gives no
+    rows.
     """
     digest, classes, links = similar_classes(docs, width=width, num=num, den=den, doc_id=doc_id, text=text)
     size = classes.select("cid", "members")

@@ -124,8 +124,9 @@ def shard_by_bytes(documents: DataFrame, shards: int = SHARDS, *, probes: int =
     tolerance, or by the size of the row at the boundary.  Equal texts have
     one shard unless a boundary would miss by more than the tolerance.  Slots
     are gapless from 0 within a shard.  A null text has size 1 and a null
-    text_crc32; null doc_ids and repeated rows are rows like others; an empty
-    table gives no rows; other columns are not read.
+    text_crc32, a text of any length its whole size; null doc_ids and repeated
+    rows are rows like others, told apart (a tie) by their place; an empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     spark = documents.sparkSession
     keys = written(_digest(documents), "sharding")
