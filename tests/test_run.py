@@ -159,3 +159,27 @@ def test_every_file_is_seen(spark, tmp_path):
     (tmp_path / "README.md").write_text(links)
     check = run(spark, settings(tmp_path))
     assert {r.value for r in check.results.collect() if r.type == "file-path" and not r.valid} == {"./gone.md"}
+
+
+def test_embeddings_are_kept(spark, project):
+    """A second run asks the model for nothing that the first has embedded, and finds the saved graph."""
+    (project / "README.md").write_text(DOC + "\n## Start\n" + "The function start begins the work and returns a class. " * 4)
+    (project / "src" / "app.ts").write_text("/** Starts the application and returns nothing at all, as the guide says. */\nexport function start(one: number) {}\n")
+
+    def model(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def broken(texts):
+        raise AssertionError("asked again")
+
+    config_ = quiet(project) | {"semantic": {"enabled": True, "similarity_threshold": 0.99}}
+    first = Check(spark, config_, model=model)
+    assert first.mismatches is not None and first.embeddings.count() >= 2
+    first.config["graph"]["enabled"] = True
+    first.save_state()
+    rows = {(r.key, tuple(r.embedding)) for r in first.embeddings.collect()}
+    again = Check(spark, config_, model=broken)
+    assert {(r.key, tuple(r.embedding)) for r in again.embeddings.collect()} == rows and again.mismatches.count() == first.mismatches.count()
+    assert again.saved_graph() is not None and again.saved_graph().count() == first.edges.count()
+    other = Check(spark, config_ | {"include": ["docs/**"]}, model=broken)
+    assert other.saved_graph() is None

@@ -21,6 +21,8 @@ from ..sources import files, manifests
 from ..sources import history as log
 from ..sources import probe as live
 
+EMBEDDINGS = "key string, embedding array<float>, ts_ms long"
+MOST_EMBEDDINGS = 20_000
 RESULT = ["path", "type", "value", "line", "valid", "skipped", "severity", "message", "suggestion"]
 
 
@@ -216,15 +218,37 @@ class Check:
         since = F.timestamp_millis(F.lit(self.now_ms - self.config["change_window_days"] * 86_400_000))
         return graph.affected_docs(self.edges, history.changed_since(self.commits, since))
 
+    def texts(self) -> tuple[DataFrame, DataFrame]:
+        """Sections and comments that are compared, with the key of each text in the cache of embeddings."""
+        keyed = lambda df, kind: df.withColumns({"kind": F.lit(kind), "key": F.concat(F.lit(f"{kind}:"), F.md5(F.col("text").cast("binary")))})
+        sections = extract.sections(self.documents).where(F.char_length("text") >= semantic.LEAST_SECTION).withColumn("doc_id", F.concat_ws("#", "path", F.col("ord").cast("string")))
+        comments = index.comments(self.code).where(F.char_length("text") >= semantic.LEAST_COMMENT).withColumn("code_id", F.concat_ws("#", "path", "kind", F.col("start").cast("string")))
+        return keyed(sections, "doc"), keyed(comments.drop("kind"), "code")
+
+    @cached_property
+    def embeddings(self) -> DataFrame:
+        """key, embedding, ts_ms: those of earlier runs, and of the texts that they lack; only these go to the model."""
+        known = state_table(self.spark, os.path.join(self.cache, "embeddings"), EMBEDDINGS) if self.cache else self.spark.createDataFrame([], EMBEDDINGS)
+        sections, comments = self.texts()
+        missing = state.missing_embeddings(sections.select("kind", "text").unionByName(comments.select("kind", "text")), known)
+        return self.hold(known.unionByName(semantic.embed(missing, self.model).select("key", "embedding", F.lit(self.now_ms).alias("ts_ms"))))
+
     @cached_property
     def mismatches(self) -> DataFrame | None:
         """Sections unlike any comment; None without a model."""
         if not self.config["semantic"]["enabled"] or self.model is None:
             return None
-        sections = extract.sections(self.documents).where(F.char_length("text") >= semantic.LEAST_SECTION).withColumn("doc_id", F.concat_ws("#", "path", F.col("ord").cast("string")))
-        comments = index.comments(self.code).where(F.char_length("text") >= semantic.LEAST_COMMENT).withColumn("code_id", F.concat_ws("#", "path", "kind", F.col("start").cast("string")))
-        vectors = [semantic.embed(d.select(k, "text"), self.model).select(k, "embedding") for d, k in ((sections, "doc_id"), (comments, "code_id"))]
-        return semantic.mismatches(sections, semantic.best_matches(*vectors), self.config["semantic"]["similarity_threshold"])
+        sections, comments = self.texts()
+        vectors = [d.select(k, "key").join(self.embeddings.select("key", "embedding"), "key").select(k, "embedding") for d, k in ((sections, "doc_id"), (comments, "code_id"))]
+        return semantic.mismatches(sections.drop("kind", "key"), semantic.best_matches(*vectors), self.config["semantic"]["similarity_threshold"])
+
+    def saved_graph(self) -> DataFrame | None:
+        """The edges that the last run saved, if they still hold for this configuration and commit; else None."""
+        if not self.cache or not os.path.isdir(os.path.join(self.cache, "edges")):
+            return None
+        meta = state_table(self.spark, os.path.join(self.cache, "graph"), "build_ts_ms long, config_hash string, git_commit string")
+        valid = state.graph_is_valid(meta, self.config_hash(), log.current_commit(self.root), self.now_ms, self.config["graph"].get("max_age_ms", 86_400_000)).first()
+        return state_table(self.spark, os.path.join(self.cache, "edges"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.edges.schema)) if valid and valid["valid"] else None
 
     def config_hash(self) -> str:
         kept = {k: self.config.get(k) for k in ("include", "exclude", "source_patterns", "manifest_files")}
@@ -235,6 +259,8 @@ class Check:
         if not self.cache:
             return
         os.makedirs(self.cache, exist_ok=True)
+        if self.mismatches is not None:
+            replace_table(state.keep_newest(self.embeddings, "key", "ts_ms", MOST_EMBEDDINGS), os.path.join(self.cache, "embeddings"), self.now_ms)
         if self.config["incremental"]["enabled"]:
             replace_table(state.new_state(self.all_documents), os.path.join(self.cache, "hashes"), self.now_ms)
         if not self.config["graph"]["enabled"]:
