@@ -261,7 +261,8 @@ def imports(refs: DataFrame, code: DataFrame, listing: DataFrame, exports: DataF
     unknown = hit.where("resolved_path is null").select("value").distinct()
     base = F.lower(basename(F.regexp_replace("value", r"^(?:\./|(?:\.\./)+)", "")))
     names = code.select(F.col("path").alias("file"), F.lower(F.regexp_replace(basename(F.col("path")), r"\.[^.]*\z", "")).alias("stem")).distinct()
-    similar = _mutual_parts(unknown.withColumn("base", base), names).groupBy("value").agg(F.sort_array(F.collect_list("file")).alias("__files")).where("size(__files) <= 5")
+    few = _mutual_parts(unknown.withColumn("base", base), names).selectExpr("value", "file", "row_number() over (partition by value order by file) as __r").where("__r <= 6")  # one more than counts
+    similar = few.groupBy("value").agg(F.sort_array(F.collect_list("file")).alias("__files")).where("size(__files) <= 5")
     out = out.join(similar, "value", "left")
     skip = F.col("__example") & F.lit(skip_examples)
     far = F.col("resolved_path").isNull() & F.col("language").isin("python", "go") & ~F.col("value").startswith(".")
@@ -280,13 +281,22 @@ def imports(refs: DataFrame, code: DataFrame, listing: DataFrame, exports: DataF
     }).drop("__example", "__named", "__default", "__offered", "__lost", "__nodefault", "__hints", "__files")
 
 
+#: Characters of a stem that are joined on; what meets is then searched for the whole.
+ANCHOR = 4
+
+
 def _mutual_parts(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """value, file where base holds stem or stem holds base, by equi-joins on substrings of the longer one."""
-    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.char_length(c) - i + 1), lambda n: F.substring(F.col(c), i, n)))))
+    """value, file where base holds stem or stem holds base.
+
+    The held one's first characters, at most ANCHOR, are looked up among the
+    other's parts of as many: four keys a character, not one for each substring.
+    """
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), F.char_length(c) - i + 1)), lambda n: F.substring(F.col(c), i, n)))))
+    begin = lambda c: F.substring(c, 1, ANCHOR).alias("__k")
     asked, names = asked.where("base <> ''"), names.where("stem <> ''")
-    down = asked.select("value", F.explode(parts("base")).alias("stem")).join(names, "stem").select("value", "file")
-    up = names.select("file", F.explode(parts("stem")).alias("base")).join(asked, "base").select("value", "file")
-    return down.union(up).distinct()
+    down = asked.select("value", "base", F.explode(parts("base")).alias("__k")).join(names.select("file", "stem", begin("stem")), "__k").where(F.contains("base", "stem"))
+    up = names.select("file", "stem", F.explode(parts("stem")).alias("__k")).join(asked.select("value", "base", begin("base")), "__k").where(F.contains("stem", "base"))
+    return down.select("value", "file").union(up.select("value", "file")).distinct()
 
 
 def calls(refs: DataFrame, signatures: DataFrame, *, severity: str = "warning") -> DataFrame:
