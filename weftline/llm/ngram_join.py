@@ -218,9 +218,10 @@ def similar_classes(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den:
     used = placed.select(F.col("a").alias("cid")).union(placed.select(F.col("b").alias("cid"))).distinct()
     prints = used.join(index.select("cid", "f1", "f2"), "cid")
     bits = spark.sparkContext.broadcast(_filter_bits(prints))  # FILTER_BITS bits
-    whole = _whole_sets(texts, bits, width).join(prints, ["f1", "f2"]).groupBy("cid").agg(F.first("members").alias("members"))
-    wanted = placed.select("home", "ca", "cb", F.col("a").alias("cid")).union(placed.select("home", "ca", "cb", F.col("b").alias("cid"))).distinct()
-    sets = wanted.join(whole, "cid").select(F.col("home").alias("h"), F.col("ca").alias("i"), F.col("cb").alias("j"), "cid", "members")
+    # the cells are brought to the sets, so that these are exchanged twice only: copies to one, then to the cells
+    whole = _whole_sets(texts, bits, width).groupBy("f1", "f2").agg(F.first("members").alias("members"))
+    wanted = placed.select("home", "ca", "cb", F.col("a").alias("cid")).union(placed.select("home", "ca", "cb", F.col("b").alias("cid"))).distinct().join(prints, "cid")
+    sets = whole.join(wanted, ["f1", "f2"]).select(F.col("home").alias("h"), F.col("ca").alias("i"), F.col("cb").alias("j"), "cid", "members")
     links = sets.groupBy("h", "i", "j").cogroup(placed.groupBy("home", "ca", "cb")).applyInArrow(_verify(num, den), "a long, b long")
     return digest, written(classes, "classes"), written(links, "links")
 
