@@ -14,7 +14,7 @@ from ..functions.similarity import entry_likeness
 
 DISTANCE = 3
 #: Names up to this length meet by what deletions leave of them, longer ones by their pieces.
-SHORT = 12
+SHORT = 10
 
 
 def _deletions(names: DataFrame, text: str, length: str, distance: int) -> DataFrame:
@@ -30,13 +30,22 @@ def _deletions(names: DataFrame, text: str, length: str, distance: int) -> DataF
 
 
 def _paths(distance: int) -> list[tuple[int, ...]]:
-    """(difference of lengths, three pieces, their shifts): the ways in which three of 2 * distance pieces stay whole.
+    """(difference of lengths, three pieces, their shifts): the ways in which the first three whole pieces of distance + 3 lie.
 
-    The shift changes by one with every character inserted or deleted, so on
-    the way from the start over the pieces to the end it changes by at most `distance`.
+    Every edit spoils the piece it falls into, one at a border the piece after
+    it.  All pieces before the third whole one but these three are spoilt, so
+    each run of g of them took g edits at least and shifts what follows by no
+    more than it took; where none is spoilt, nothing shifts.
     """
-    steps = [v for v in product(range(-distance, distance + 1), repeat=4) if sum(map(abs, v)) <= distance]
-    return [(sum(v), *three, v[0], v[0] + v[1], v[0] + v[1] + v[2]) for three in combinations(range(distance + 3), 3) for v in steps]
+    out = []
+    for i, j, k in combinations(range(distance + 3), 3):
+        spoilt = (i, j - i - 1, k - j - 1)
+        for steps in product(range(-distance, distance + 1), repeat=3):
+            taken = sum(max(g, abs(v)) for g, v in zip(spoilt, steps))
+            if taken <= distance and not any(v and not g for g, v in zip(spoilt, steps)):
+                shifts = (steps[0], steps[0] + steps[1], sum(steps))
+                out += [(sum(steps) + rest, i, j, k, *shifts) for rest in range(taken - distance, distance - taken + 1)]
+    return out
 
 
 def nearest_names(targets: DataFrame, candidates: DataFrame, *, within: list[str] = (), distance: int = DISTANCE) -> DataFrame:
@@ -51,8 +60,8 @@ def nearest_names(targets: DataFrame, candidates: DataFrame, *, within: list[str
     Candidates of up to SHORT characters meet by what is left when up to
     `distance` characters are deleted on each side.  A longer one is cut into
     distance + 3 pieces, of which three stay whole (pigeonhole), each at its
-    place shifted by what was inserted and deleted before; every three of them
-    are one key.  Hashes are joined; what meets is compared by distance.
+    place shifted by what was inserted and deleted before; the first three are
+    the key.  Hashes are joined; what meets is compared by distance.
     """
     keys, pieces = list(within), distance + 3
     own = targets.select("target", *keys).distinct().withColumn("tl", F.lower("target")).withColumn("tn", F.char_length("target"))
