@@ -11,6 +11,7 @@ from ..functions.patterns import ANY, NAME, PKG, TAKEN, N, S, W, maybe
 from ..operators.extract import ALIASES, ASCIIDOC_BLOCK, LINE_SUFFIX, PACKAGES, RST_BLOCK, RST_LINK, STOP_WORDS, SYMBOLS, TECHNOLOGIES
 from ..operators.index import DECLARED
 from ..operators.snippets import GO_GROUP, GO_IMPORT, JS_IMPORT, PY_IMPORT, REQUIRE
+from ..operators.validate import GET_FIRST
 from ..sources.corpora import with_corpora
 
 NL = "(length({x}) - length(replace({x}, chr(10), '')))"
@@ -312,13 +313,14 @@ import_results AS (
 )"""
 _IP = "regexp_extract(host, '^(\\d{{1,3}})\\.(\\d{{1,3}})\\.(\\d{{1,3}})\\.(\\d{{1,3}})$', {k})"
 _OCT = lambda k: f"nullif({_IP.format(k=k)}, '')::int"
+PRIVATE = f"coalesce(greatest({_OCT(1)}, {_OCT(2)}, {_OCT(3)}, {_OCT(4)}) > 255 OR {_OCT(1)} IN (0, 10, 127) OR {_OCT(1)} >= 224 OR ({_OCT(1)} = 172 AND {_OCT(2)} BETWEEN 16 AND 31) OR ({_OCT(1)} = 192 AND {_OCT(2)} = 168) OR ({_OCT(1)} = 169 AND {_OCT(2)} = 254), false)"
 URL_RESULTS = f"""
 url_parts AS (SELECT DISTINCT url, lower(nullif(regexp_extract(url, '^([a-zA-Z][+.0-9a-zA-Z-]*)://', 1), '')) AS scheme, lower(nullif(regexp_extract(url, '^[a-zA-Z][+.0-9a-zA-Z-]*://([^/?#:]*)', 1), '')) AS host, regexp_matches(url, '[{{}} ]') AS broken FROM urls),
 url_cases AS (
   SELECT p.*, r.status, CASE
     WHEN regexp_matches(url, '\\$\\{{.*\\}}|\\{{\\{{.*\\}}\\}}|<%.*%>') THEN 'template' WHEN broken OR scheme IS NULL OR (scheme IN ('http', 'https') AND host IS NULL) THEN 'format' WHEN scheme NOT IN ('http', 'https') THEN 'protocol'
     WHEN host IN ('127.0.0.1', 'localhost', 'example.com') OR host LIKE '%.localhost' OR host LIKE '%.example.com' THEN 'domain'
-    WHEN coalesce(greatest({_OCT(1)}, {_OCT(2)}, {_OCT(3)}, {_OCT(4)}) > 255 OR {_OCT(1)} IN (0, 10, 127) OR {_OCT(1)} >= 224 OR ({_OCT(1)} = 172 AND {_OCT(2)} BETWEEN 16 AND 31) OR ({_OCT(1)} = 192 AND {_OCT(2)} = 168) OR ({_OCT(1)} = 169 AND {_OCT(2)} = 254), false) THEN 'private'
+    WHEN {PRIVATE} THEN 'private'
     WHEN status IS NULL THEN 'failed' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status IN (401, 403) THEN 'auth' WHEN status = 404 AND host = 'github.com' THEN 'hub' ELSE 'bad' END AS c
   FROM url_parts p LEFT JOIN probe_results r USING (url)
 )
@@ -389,6 +391,8 @@ RAW: dict[str, str] = {
     "last_commit": f"WITH {LAST} SELECT * FROM last_rows",
     "commits_after_doc": f"WITH {GRAPH}, {LAST}, {AFTER} SELECT * FROM after_rows",
     "changed_since": f"WITH {LAST} SELECT * FROM changed",
+    "urls_to_probe": f"""WITH {URL_RESULTS[: URL_RESULTS.index("url_cases AS")].strip().rstrip(",")}
+      SELECT url, CASE WHEN regexp_matches(host, '{"|".join(GET_FIRST)}') THEN 'GET' ELSE 'HEAD' END AS method FROM url_parts WHERE scheme IN ('http', 'https') AND host IS NOT NULL AND NOT broken AND host <> 'localhost' AND NOT {PRIVATE}""",
     "changed_between": "SELECT DISTINCT path FROM commits_syn WHERE ts > (SELECT min(ts) FROM commits_syn) AND ts <= (SELECT max(ts) FROM commits_syn)",
     "graph_validity": """WITH m AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE o_orderkey * 10000 END AS t, ([NULL, 'abc', 'zzz', ''])[o_orderkey % 4 + 1] AS h, ([NULL, 'c1', 'c2', NULL, 'c1'])[o_orderkey % 5 + 1] AS g FROM orders),
       v AS (SELECT *, coalesce(t, 0) <> 0 AND (coalesce(h, '') = '' OR h = 'abc') AS sound, 300000000 - t < 86400000 AS young FROM m)
