@@ -141,31 +141,34 @@ def _filter_bits(prints: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _whole_sets(texts: DataFrame, bits, width: int) -> DataFrame:
-    """f1, f2 and the members of every set that may be a candidate."""
+def _whole_texts(texts: DataFrame, bits, width: int) -> DataFrame:
+    """f1, f2 and the text of every set that may be a candidate: a text is half as long as its set's hashes."""
 
     def run(batches):
-        held, ones = bits.value, np.uint64(FILTER_BITS - 1)
-        for _, sets in _sets(batches, width):
-            out = []
-            for s in sets:
-                if len(s):
-                    f = _print(s)
-                    x = np.int64(f[0]).view(np.uint64)
-                    k = [int((x >> np.uint64(shift)) & ones) for shift in (0, 32)]
-                    if all(held[i >> 3] >> (7 - (i & 7)) & 1 for i in k):
-                        out.append((*f, s.tobytes()))
-            if out:
-                a, b, members = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(members, pa.binary())], names=["f1", "f2", "members"])
-
-    return texts.mapInArrow(run, "f1 long, f2 long, members binary")
-
-
-def _verify(num: int, den: int):
+        held, ones, words = bits.value, np.uint64(FILTER_BITS - 1), Words()
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                own, out = batch.column(1).slice(i, BATCH).to_pylist(), []
+                for s, text in zip(shingle_sets(words, own, width), own):
+                    if len(s):
+                        f = _print(s)
+                        x = np.int64(f[0]).view(np.uint64)
+                        k = [int((x >> np.uint64(shift)) & ones) for shift in (0, 32)]
+                        if all(held[i >> 3] >> (7 - (i & 7)) & 1 for i in k):
+                            out.append((*f, text))
+                if out:
+                    a, b, kept = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept, pa.binary())], names=["f1", "f2", "text"])
+
+    return texts.mapInArrow(run, "f1 long, f2 long, text binary")
+
+
+def _verify(num: int, den: int, width: int):
     def cell(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        own = {c: np.frombuffer(m, np.uint64) for c, m in zip(sets["cid"].to_pylist(), sets["members"].to_pylist())}
-        good = []
+        own, good, words = {}, [], Words()
+        for i in range(0, sets.num_rows, BATCH):
+            part = sets.slice(i, BATCH)
+            own.update(zip(part["cid"].to_pylist(), shingle_sets(words, part["text"].to_pylist(), width)))
         for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
             x, y = own[a], own[b]
             both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
@@ -218,11 +221,11 @@ def similar_classes(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den:
     used = placed.select(F.col("a").alias("cid")).union(placed.select(F.col("b").alias("cid"))).distinct()
     prints = used.join(index.select("cid", "f1", "f2"), "cid")
     bits = spark.sparkContext.broadcast(_filter_bits(prints))  # FILTER_BITS bits
-    # the cells are brought to the sets, so that these are exchanged twice only: copies to one, then to the cells
-    whole = _whole_sets(texts, bits, width).groupBy("f1", "f2").agg(F.first("members").alias("members"))
+    # the cells are brought to the texts, so that these are exchanged twice only: those of one set to one, then to the cells
+    whole = _whole_texts(texts, bits, width).groupBy("f1", "f2").agg(F.first("text").alias("text"))
     wanted = placed.select("home", "ca", "cb", F.col("a").alias("cid")).union(placed.select("home", "ca", "cb", F.col("b").alias("cid"))).distinct().join(prints, "cid")
-    sets = whole.join(wanted, ["f1", "f2"]).select(F.col("home").alias("h"), F.col("ca").alias("i"), F.col("cb").alias("j"), "cid", "members")
-    links = sets.groupBy("h", "i", "j").cogroup(placed.groupBy("home", "ca", "cb")).applyInArrow(_verify(num, den), "a long, b long")
+    sets = whole.join(wanted, ["f1", "f2"]).select(F.col("home").alias("h"), F.col("ca").alias("i"), F.col("cb").alias("j"), "cid", "text")
+    links = sets.groupBy("h", "i", "j").cogroup(placed.groupBy("home", "ca", "cb")).applyInArrow(_verify(num, den, width), "a long, b long")
     return digest, written(classes, "classes"), written(links, "links")
 
 
