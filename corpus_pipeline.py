@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, ngram_join, secrets, sentencepiece_codec, toxicity
-from weftline.llm._common import table, written
+from weftline.llm._common import keyed, numbers_of, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, model)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a __key of each row's own, written so that it stays: ids may be null or repeated."""
-    return written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones: that of the smallest doc_id, null last, and of equal ids the first."""
     rows = keyed(docs)
@@ -33,7 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     linked = written(linked.join(rows.select("__key", "doc_id"), "__key"), "linked")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
     kept = linked.groupBy("component_id").agg(least.alias("__key")).select("__key")
-    return rows.join(linked.select("__key").join(kept, "__key", "left_anti"), "__key", "left_anti").select(docs.columns)
+    dropped = numbers_of(linked.join(kept, "__key", "left_anti").select("__key", F.lit(1).alias("number")), "dropped")
+    return rows.where(dropped("__key") == 0).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +43,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     rows = keyed(docs)
-    copies = mixing.mix(rows, key="__key").where("copies > 0").select("__key", F.col("copies").alias("__copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return rows.join(copies, "__key").withColumn("__time", times).select(docs.columns)
+    copies = numbers_of(mixing.mix(rows, key="__key").where("copies > 0").select("__key", F.col("copies").alias("number")), "copies")
+    return rows.withColumn("__copies", copies("__key")).withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,6 +354,44 @@ def test_pipeline_repeated_ids(spark):
     assert all(abs(taken[s] - want[s]) <= 30 for s in "ab") and max(Counter(r.text for r in mixed).values()) <= 2
 
 
+def test_pipeline_exchanges_no_whole_rows(spark):
+    """near_duplicates and mixing bring their decisions to the rows: no row with its text is exchanged, however large the decisions are."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(30))
+    rows = [(i, text(), "ab"[i % 2]) for i in range(300)]
+    rows += [(1000 + i, rows[i][1], "a") for i in range(0, 300, 7)] + [(2000, None, None), (None, "", "b")]
+    docs = frame(spark, DOCS, rows).repartition(5)
+    bound, threshold = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(bound, "-1")
+    try:
+        for stage, want in ((p.drop_near_duplicates, Counter(r for r in rows if not 1000 <= (r[0] or 0) < 2000)), (p.mix_sources, None)):
+            out = stage(spark, docs, DIR)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan, plan
+            got = Counter(map(tuple, out.collect()))
+            assert got == Counter(map(tuple, out.collect()))
+            assert got == want if want else set(got) <= set(rows) and max(got.values()) == 2
+    finally:
+        spark.conf.set(bound, threshold)
+
+
+def test_numbers_of_keys(spark):
+    """Each row gets its own number, 0 without one, from however many partitions and however they are cut again."""
+    from weftline.llm import _common as c
+
+    rows = c.keyed(spark.range(1000).repartition(7))
+    key = {r["id"]: r["__key"] for r in rows.collect()}
+    assert len({k >> c.ROW_BITS for k in key.values()}) == 7 and len(set(key.values())) == 1000
+    facts = spark.createDataFrame([(k, i + 1) for i, k in key.items() if i % 3 == 0 and i > 500], "__key long, number long")
+    number = c.numbers_of(facts, "test")
+    want = {i: i + 1 if i % 3 == 0 and i > 500 else 0 for i in key}
+    for cut in (rows, rows.repartition(3), rows.orderBy("id").coalesce(1)):
+        assert {r["id"]: r.n for r in cut.select("id", number("__key").alias("n")).collect()} == want
+    assert {r.n for r in rows.select(c.numbers_of(facts.limit(0), "test")("__key").alias("n")).collect()} == {0}
+
+
 def test_pipeline_of_odd_tables(spark):
     """Columns named like those that stages make stay as they are; an empty table goes through all stages."""
     import corpus_pipeline as p

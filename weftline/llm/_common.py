@@ -5,8 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from py4j.protocol import Py4JError
+from pyarrow import dataset
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +92,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: monotonically_increasing_id counts the rows of a partition in so many bits, and the partitions above them.
+ROW_BITS = 33
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a __key of each row's own, written so that it stays: ids may be null or repeated."""
+    return written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+
+
+def numbers_of(facts: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A function of keys that gives the number of each in facts(__key, number), 0 for those that aren't there.
+
+    Keys are those of `keyed`, each once at most.  The numbers go to the rows
+    that ask, so rows with whole texts are not exchanged, however many numbers
+    there are: folder pid=i of the shared folder holds those of the keyed
+    partition i, and a task reads the folders of the keys that it meets, one
+    at a time.
+    """
+    path = shared_path(facts.sparkSession, name)
+    sent = facts.select(F.shiftright("__key", ROW_BITS).alias("pid"), F.col("__key").alias("key"), F.col("number").cast("int").alias("number"))
+    sent.repartition("pid").write.partitionBy("pid").parquet(path)
+
+    def folder(pid: int) -> tuple[np.ndarray, np.ndarray]:
+        files, root = pa_fs.FileSystem.from_uri(f"{path}/pid={pid}") if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), f"{path}/pid={pid}")
+        found = [i.path for i in files.get_file_info(pa_fs.FileSelector(root, allow_not_found=True)) if i.path.endswith(".parquet")]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        t = dataset.dataset(found, filesystem=files, format="parquet").to_table(columns=["key", "number"]).sort_by("key")
+        return t["key"].to_numpy(), t["number"].to_numpy()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, own, number = None, None, None
+        for batch in batches:
+            keys = batch.to_numpy(np.int64)
+            out, pids = np.zeros(len(keys), np.int32), keys >> ROW_BITS
+            for pid in np.unique(pids):
+                if pid != held:
+                    held, (own, number) = pid, folder(pid)
+                if len(own):
+                    asked = np.flatnonzero(pids == pid)
+                    at = np.minimum(np.searchsorted(own, keys[asked]), len(own) - 1)
+                    out[asked] = np.where(own[at] == keys[asked], number[at], 0)
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, "int", functionType=F.PandasUDFType.SCALAR_ITER)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
