@@ -169,3 +169,10 @@ def test_semantic(spark):
     assert {r.doc_id for r in semantic.mismatches(sections, semantic.best_matches(docs, code)).collect()} == {2}
     out = semantic.embed(sections, lambda texts: [[float(len(t))] for t in texts]).collect()
     assert [r.embedding for r in out] == [[12.0], [8.0], [7.0]]
+
+
+def test_four_numbers_are_a_private_host_even_if_too_large(spark):
+    urls = frame(spark, "url string", ("http://10.0.0.260/x",), ("https://u@300.1.2.3:80/y",), ("http://8.8.8.8/z",))
+    got = {r.url: (r.valid, r.skipped, r.message) for r in validate.url_verdicts(urls, frame(spark, "url string, status int", ("http://8.8.8.8/z", 200))).collect()}
+    assert got == {"http://10.0.0.260/x": (True, True, "Skipped: private/internal address"), "https://u@300.1.2.3:80/y": (True, True, "Skipped: private/internal address"), "http://8.8.8.8/z": (True, False, None)}
+    assert [r.url for r in validate.to_probe(urls, None, 0).collect()] == ["http://8.8.8.8/z"]
