@@ -1,6 +1,10 @@
 """What keeps the work in proportion to the input, on small tables."""
 
-from weftline.operators import lookup
+import tracemalloc
+
+import numpy as np
+
+from weftline.operators import lookup, semantic
 
 
 def test_near_targets_do_not_meet_farther_candidates(spark, monkeypatch):
@@ -10,3 +14,14 @@ def test_near_targets_do_not_meet_farther_candidates(spark, monkeypatch):
     asked = spark.createDataFrame([("P101.md",), ("p140.md",), ("p1x1.md",)], "target string")
     assert {r.target: r.match for r in lookup.nearest_names(asked, names).collect()} == {"P101.md": "p101.md", "p140.md": "p100.md", "p1x1.md": "p101.md"}
     assert tried == [1]
+
+
+def test_products_are_held_by_strips():
+    rng = np.random.default_rng(1)
+    u, w = rng.normal(size=(3000, 8)), rng.normal(size=(3000, 8))
+    tracemalloc.start()
+    score, at = semantic.nearest(u, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = (u / np.linalg.norm(u, axis=1)[:, None]) @ (w / np.linalg.norm(w, axis=1)[:, None]).T
+    assert (at == s.argmax(axis=1)).all() and np.allclose(score, s.max(axis=1)) and peak < s.nbytes / 2

@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYWORDS = ("API", "class", "function", "method", "returns")
 LEAST_SECTION, LEAST_COMMENT, SHOWN = 50, 20, 200
 BLOCK = 8192
+#: Rows whose products with a block are in a worker's memory at once: 32 MB.
+STRIP = 512
 
 
 def technical(text: Column) -> Column:
@@ -22,6 +25,17 @@ def technical(text: Column) -> Column:
     return out
 
 
+def nearest(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of u the greatest cosine with a row of w, and the first such row; only a STRIP of the products is held at a time."""
+    unit = lambda z: z / np.where((s := np.sqrt((z * z).sum(axis=1, keepdims=True))) > 0, s, 1)
+    u, w, score, at = unit(u), unit(w).T, np.empty(len(u)), np.empty(len(u), dtype=np.int64)
+    for k in range(0, len(u), STRIP):
+        s = u[k : k + STRIP] @ w
+        at[k : k + STRIP] = best = s.argmax(axis=1)
+        score[k : k + STRIP] = s[np.arange(len(s)), best]
+    return score, at
+
+
 def best_matches(docs: DataFrame, code: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """doc_id, score, code_id: the code vector of greatest positive cosine; 0 and null without one.
 
@@ -37,19 +51,14 @@ def best_matches(docs: DataFrame, code: DataFrame, *, block: int = BLOCK) -> Dat
     right = code.select("code_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.pmod(F.xxhash64("code_id"), F.lit(b)).cast("int").alias("j")).withColumn("i", span(a))
 
     def cell(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids, codes = x["doc_id"].to_pylist(), y["code_id"].to_pylist()
-        out: list[tuple] = []
-        vx = [v or [] for v in x["embedding"].to_pylist()]
-        vy = [v or [] for v in y["embedding"].to_pylist()]
-        for d in {len(v) for v in vx} & {len(v) for v in vy} - {0}:
-            p = [i for i, v in enumerate(vx) if len(v) == d]
-            q = sorted((i for i, v in enumerate(vy) if len(v) == d), key=lambda i: codes[i])
-            u, w = (np.nan_to_num(np.array([vs[i] for i in at], dtype=float)) for vs, at in ((vx, p), (vy, q)))
-            unit = lambda z: z / np.where((s := np.sqrt((z * z).sum(axis=1, keepdims=True))) > 0, s, 1)
-            s = unit(u) @ unit(w).T
-            best = s.argmax(axis=1)
-            out += [(ids[i], float(s[k, c]), codes[q[c]]) for k, (i, c) in enumerate(zip(p, best)) if s[k, c] > 0]
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((x.schema.field("doc_id").type, pa.float64(), y.schema.field("code_id").type))], names=["doc_id", "score", "code_id"])
+        out = [pa.table([pa.array([], t) for t in (x.schema.field("doc_id").type, pa.float64(), y.schema.field("code_id").type)], names=["doc_id", "score", "code_id"])]
+        y = y.sort_by("code_id")
+        for d in set(pc.list_value_length(x["embedding"]).unique().to_pylist()) & set(pc.list_value_length(y["embedding"]).unique().to_pylist()) - {0, None}:
+            own, given = (t.filter(pc.equal(pc.list_value_length(t["embedding"]), d)) for t in (x, y))
+            score, at = nearest(*(np.nan_to_num(np.asarray(pc.list_flatten(t["embedding"]).to_numpy(), dtype=float).reshape(-1, d)) for t in (own, given)))
+            found = pa.table([own["doc_id"], pa.array(score), given["code_id"].take(pa.array(at))], names=["doc_id", "score", "code_id"])
+            out.append(found.filter(pa.array(score > 0)))
+        return pa.concat_tables(out)
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, code_id {code.schema['code_id'].dataType.simpleString()}"
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(lambda x, y: cell(x, y), kinds)
