@@ -59,3 +59,11 @@ def test_brackets_deep_many_and_unclosed(spark):
     df = spark.createDataFrame(rows, "t string").select(enclosed(F.col("t"), "(", ")").alias("inner"), top_level_parts(enclosed(F.col("t"), "(", ")"), "([{", ")]}").alias("parts"))
     got = [(r.inner, r.parts) for r in df.collect()]
     assert got == [("a, f(b, [c, d]), {e, (g)}", ["a", "f(b, [c, d])", "{e, (g)}"]), ("(((((1)))))", ["(((((1)))))"]), ("(1)," * 200 + "2", ["(1)"] * 200 + ["2"]), (None, None), ("", []), ("é\U0001f600, 1", ["é\U0001f600", "1"])]
+
+
+def test_texts_are_composed_and_searched_once(spark):
+    from weftline.plans import registry
+
+    for name in ("validate_file_paths", "validate_symbols"):
+        files = registry.QUERIES[name](spark, DIR).inputFiles()
+        assert files and not [f for f in files if f.endswith(("part.parquet", "supplier.parquet"))]
